@@ -26,7 +26,9 @@ def norm01(value: Column, full: float) -> Column:
 
 
 def half_even(value: Column, digits: int = 0) -> Column:
-    return F.bround(value, digits)
+    """Round half to even on the binary value (bround works on the shortest decimal text)."""
+    scale = F.lit(float(10**digits))
+    return F.rint(value * scale) / scale
 
 
 def band(score: Column) -> Column:

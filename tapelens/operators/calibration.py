@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tapelens import constants as K
 from tapelens.functions import scalar as S
 from tapelens.operators import labels, pit, probes, scoring
+from tapelens.session import cut_lineage
 
 
 def labelled_events(tables) -> DataFrame:
     """Assessable movement episodes (label 1) and their matched controls (label 0)."""
     moves = labels.classified(tables).where("reason_class = 'pergerakan'")
-    positives = labels.assessable_events(tables, labels.collapse_episodes(moves))
+    positives = cut_lineage(labels.assessable_events(tables, labels.collapse_episodes(moves)))
     controls = labels.controls_with_reuse(tables, positives)
     return positives.select("symbol", "event_date", F.lit(1).alias("label")).unionByName(
         controls.select("symbol", "event_date", F.lit(0).alias("label")))
@@ -28,10 +29,11 @@ def observation_matrix(tables, events: DataFrame, lags: list[int] | None = None,
                        exclude: tuple[str, ...] = ()) -> DataFrame:
     """(symbol, event_date, lag, as_of, label, six sub-scores).
 
-    A symbol and date shared by several events is scored once and joined back. Components in
+    A symbol and date shared by several events is scored once and joined back. The grid is a
+    few rows per event and feeds six probes, so it is materialised first. Components in
     `exclude` stay null (a label made of suspensions leaks into the structural score).
     """
-    wanted = lag_grid(tables, events, lags)
+    wanted = cut_lineage(lag_grid(tables, events, lags))
     grid = wanted.select("symbol", "as_of").distinct()
     table = probes.score_table(probes.run_all(tables, grid, exclude))
     return wanted.join(table, ["symbol", "as_of"]).select(
@@ -72,7 +74,7 @@ def auc_by_component(matrix: DataFrame) -> DataFrame:
         F.when(both, F.col("wins") / (F.col("pos") * F.col("neg"))).alias("auc"))
 
 
-def weights_from_auc(auc: DataFrame, enough: bool = True) -> DataFrame:
+def weights_from_auc(auc: DataFrame, enough: bool | Column = True) -> DataFrame:
     """Weights in proportion to the AUC above 0.5, two decimals, residual to the largest.
 
     The prior weights stand if nothing separates or there are too few positives. Six rows.
@@ -90,7 +92,8 @@ def weights_from_auc(auc: DataFrame, enough: bool = True) -> DataFrame:
     )
     fitted = S.half_even(F.col("rounded") + F.when(F.col("place") == 1, F.col("residual"))
                          .otherwise(0.0), 2)
-    use = F.lit(enough) & (F.col("total") > 0)
+    sure = F.lit(enough) if isinstance(enough, bool) else enough
+    use = sure & (F.col("total") > 0)
     return out.select("component", "auc",
                       F.when(use, fitted).otherwise(prior[F.col("component")]).alias("weight"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tapelens import constants as K
 from tapelens.functions import scalar as S
 from tapelens.operators import pit
+from tapelens.session import cut_lineage
 
 
 # -- labels -------------------------------------------------------------------------------------
@@ -143,7 +144,8 @@ def controls_with_reuse(tables, positives: DataFrame,
         F.when(cap > 0, F.log10(cap)).alias("log_cap"))
     anyone = "\u0001"
     sector = F.coalesce("sector", F.lit("\u0000"))
-    candidates = (
+    # A few rows per listed security, read by several branches below.
+    candidates = cut_lineage(
         price_universe(tables).select("symbol")
         .join(positives.select("symbol").distinct(), "symbol", "left_anti")
         .join(profile, "symbol", "left").withColumn("sector", sector)
@@ -155,6 +157,7 @@ def controls_with_reuse(tables, positives: DataFrame,
         .select(F.col("symbol").alias("positive"),
                 F.when(F.col("has"), F.col("sector")).otherwise(anyone).alias("pool"), "log_cap")
     )
+    wanted = cut_lineage(wanted)
     pool = candidates.withColumn("pool", F.explode(F.array("sector", F.lit(anyone)))).select(
         "pool", "symbol", "log_cap")
     near = _nearest(wanted.where("log_cap is not null"), pool.where("log_cap is not null"),

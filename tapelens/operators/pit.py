@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tapelens.schemas import CALENDAR_TABLES, TABLES
+from tapelens.session import cut_lineage
 
 
 def pit_filter(df: DataFrame, table: str, as_of) -> DataFrame:
@@ -43,14 +44,22 @@ def symbol_since(df: DataFrame, table: str, symbol: str, since=None, as_of=None)
 def trading_calendar(tables) -> DataFrame:
     """(trade_date, session_idx): the dates that really traded, counted from 1.
 
-    One row per date, so the global window sorts a few thousand rows at any data size.
+    One row per date, so the global window sorts a few thousand rows at any data size. Almost
+    every operator asks for it, so a table set that can hold it (`calendar`) scans for the
+    dates once and keeps the checkpointed result.
     """
+    held = getattr(tables, "calendar", None)
+    if held is not None:
+        return held
     days = None
     for name in CALENDAR_TABLES:
         part = tables[name].select("trade_date").where("trade_date is not null").distinct()
         days = part if days is None else days.union(part)
     order = W.orderBy("trade_date")
-    return days.distinct().withColumn("session_idx", F.row_number().over(order))
+    calendar = days.distinct().withColumn("session_idx", F.row_number().over(order))
+    if hasattr(tables, "calendar"):
+        tables.calendar = calendar = cut_lineage(calendar)
+    return calendar
 
 
 def last_sessions(calendar: DataFrame, as_of, count: int) -> DataFrame:

@@ -198,6 +198,7 @@ class MarketTables(dict):
     def __init__(self, spark: SparkSession, directory: str):
         super().__init__()
         self.spark, self.directory = spark, directory
+        self.calendar: DataFrame | None = None
 
     def __missing__(self, name: str) -> DataFrame:
         if name in BASE_TABLES:

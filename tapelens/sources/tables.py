@@ -44,6 +44,7 @@ class Warehouse:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self.calendar: DataFrame | None = None
 
     def location(self, table: str) -> str:
         return f"{self.path}/{table}"
@@ -81,6 +82,7 @@ class Warehouse:
         touched = new.select(PART).distinct()
         old = self._stored(table).join(touched, PART, "left_semi")
         merged = merge(old.select(*spec.columns), new.select(*spec.columns), spec)
+        self.calendar = None
         write_sorted(merged.withColumn(PART, partition_value(spec)), spec, self.location(table))
         return self.read(table).count()
 

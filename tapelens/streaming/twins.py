@@ -29,8 +29,8 @@ def stream_upsert(stream: DataFrame, warehouse: Warehouse, table: str, checkpoin
 class SpendAlarm(StatefulProcessor):
     """Running spend per phase; each level fires once.
 
-    The entries of a micro-batch arrive in Arrow batches and are walked in order of time; the
-    trigger bounds how many there are.
+    Entries count in the order they arrive, one Arrow batch in memory at a time, so a phase
+    with most of the ledger needs no more memory than a quiet one.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -39,16 +39,19 @@ class SpendAlarm(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values):
         phase = key[0]
         spent, fired = self.state.get() if self.state.exists() else (0, 0)
-        cap, out = K.PHASE_CAPS[phase], []
-        batch = pd.concat(list(rows)).sort_values("ts")
-        for ts, credits in zip(batch["ts"], batch["credits"]):
-            spent += int(credits)
-            while fired < len(K.ALARM_LEVELS) and spent / cap >= K.ALARM_LEVELS[fired]:
-                out.append((phase, K.ALARM_LEVELS[fired], ts, spent))
+        cap = K.PHASE_CAPS[phase]
+        alarms = []
+        for chunk in rows:
+            running = spent + chunk["credits"].cumsum()
+            while fired < len(K.ALARM_LEVELS) and running.iloc[-1] / cap >= K.ALARM_LEVELS[fired]:
+                at = int((running / cap >= K.ALARM_LEVELS[fired]).to_numpy().argmax())
+                alarms.append((phase, K.ALARM_LEVELS[fired], chunk["ts"].iloc[at],
+                               int(running.iloc[at])))
                 fired += 1
+            spent = int(running.iloc[-1])
         self.state.update((spent, fired))
-        if out:
-            yield pd.DataFrame(out, columns=["phase", "level", "ts", "spent"])
+        if alarms:
+            yield pd.DataFrame(alarms, columns=["phase", "level", "ts", "spent"])
 
     def close(self) -> None:
         pass
