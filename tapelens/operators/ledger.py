@@ -65,7 +65,7 @@ def first_crossings(ledger: DataFrame, levels: list[float] | None = None) -> Dat
         F.col("after") / F.col("cap") >= F.col("level"))
     first_hour = reached.groupBy("phase", "level", "cap").agg(
         F.min_by(F.struct("hour", "before"), "hour").alias("first")).select(
-        "phase", "level", "cap", "first.hour", "before")
+        "phase", "level", "cap", "first.hour", "first.before")
     walk = W.partitionBy("phase", "level").orderBy("ts", "event_id")
     inside = first_hour.join(
         entries.select("phase", "hour", "ts", "event_id", "credits"), ["phase", "hour"])

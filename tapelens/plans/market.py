@@ -173,6 +173,61 @@ VIEWS: dict[str, str] = {
                    as label_2,
                cast((o_orderkey + o_orderkey % 2) % 900 as double) as value_2
         from orders""",
+    "transcript_steps": """
+        select doc_id, symbol, as_of, step, n_steps, probe, cost, spent, finding, next_action,
+               case when next_action = 'escalate' then next_probe end as new_probe, granted,
+               case when role = 'user'
+                    then 'Keputusan cadangan berbasis aturan: tanpa keluaran'
+                    else 'Volume naik, lanjut' end as reason,
+               sub_score, len, text,
+               cast(12 - sum(spent) over w + sum(granted) over w
+                    + case when len % 11 = 0 then 1 else 0 end as int) as credits_remaining
+        from (
+          select *, case when len % 4 = 0 then 0 else cost end as spent,
+                 case when next_action = 'escalate' and len % 2 = 0 then 2 else 0 end as granted
+          from (
+            select conv_id * 1000 + part as doc_id, """ + code("conv_id % 25 + 1") + """ as symbol,
+                   cast(date '1996-01-01' + (cast(conv_id as int) + part) * interval '1' day
+                        as date) as as_of,
+                   cast(turn % 8 as int) + 1 as step, role, text, len,
+                   cast(last_turn % 8 as int) + 1 as n_steps,
+                   case pidx when 0 then 'broker_concentration' when 1 then 'volume_anomaly'
+                        when 2 then 'price_fundamental' when 3 then 'free_float'
+                        when 4 then 'foreign_flow' else 'structural' end as probe,
+                   case pidx when 5 then 'broker_concentration' when 0 then 'volume_anomaly'
+                        when 1 then 'price_fundamental' when 2 then 'free_float'
+                        when 3 then 'foreign_flow' else 'structural' end as next_probe,
+                   case pidx when 0 then 3 when 1 then 1 when 2 then 6 when 3 then 1
+                        when 4 then 2 else 3 end as cost,
+                   case len % 3 when 0 then 'confirmed' when 1 then 'refuted'
+                        else 'inconclusive' end as finding,
+                   case when turn = last_turn and len % 7 > 0 then 'conclude'
+                        when len % 5 = 0 then 'escalate' else 'continue' end as next_action,
+                   case when len % 9 > 0 then cast(len % 101 as double) end as sub_score
+            from (select conv_id, turn, role, text, cast(length(text) as int) as len,
+                         cast(floor(turn / 8) as int) as part,
+                         cast((turn + conv_id) % 6 as int) as pidx,
+                         max(turn) over (partition by conv_id, floor(turn / 8)) as last_turn
+                  from conversations) a) b) c
+        window w as (partition by doc_id order by step)""",
+    "transcript_heads": """
+        select doc_id, symbol, as_of, n_steps, spent, score,
+               case when doc_id % 7 = 0 then 'normal'
+                    when score >= 80 then 'sangat_waspada' when score >= 60 then 'waspada'
+                    when score >= 30 then 'perhatian' else 'normal' end as band,
+               covered + case when doc_id % 8 = 0 then 0.05 else 0 end as confidence, covered,
+               case when doc_id % 3 = 0 then 'Rencana cadangan berbasis aturan: murah dulu'
+                    else 'Mulai dari volume' end as rationale,
+               case when doc_id % 2 = 0 then 'llm' else 'template' end as narrative_source,
+               case when doc_id % 5 = 0
+                    then concat(symbol, '-', cast(as_of as string)) end as memory_ref,
+               narrative
+        from (select doc_id, max(symbol) as symbol, max(as_of) as as_of,
+                     max(n_steps) as n_steps, sum(spent) as spent,
+                     cast(sum(len) % 101 as int) as score,
+                     cast(sum(len) % 100 as double) / 100 as covered,
+                     max(case when step = 1 then text end) as narrative
+              from transcript_steps group by doc_id) h""",
     "corpus": """
         select doc_id, text from documents
         union all

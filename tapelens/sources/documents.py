@@ -20,10 +20,12 @@ def append_ledger(entries: DataFrame, path: str) -> None:
     entries.write.mode("append").option("ignoreNullFields", True).json(path)
 
 
-def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """Transcript files with their path; an unreadable one is kept with a reason."""
-    schema = f"{schemas.TRANSCRIPT}, _corrupt string"
-    raw = (spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE")
+def read_transcripts(spark: SparkSession, path: str, multi_line: bool = True,
+                     extra: str = "") -> DataFrame:
+    """Transcript files (one document per file, or one per line) with their path; an
+    unreadable one is kept with a reason. `extra` names further fields to read."""
+    schema = ", ".join(x for x in (extra, schemas.TRANSCRIPT, "_corrupt string") if x)
+    raw = (spark.read.schema(schema).option("multiLine", multi_line).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", "_corrupt").json(path)
            .withColumn("path", F.col("_metadata.file_path")))
     problem = F.when(F.col("_corrupt").isNotNull(), "unreadable document").when(
@@ -31,19 +33,20 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("problem", problem).drop("_corrupt")
 
 
-def read_watchlists(spark: SparkSession, root: str) -> DataFrame:
-    """Watchlist runs under root/<date>/watchlist.json with the lines of their run.log.
+def read_watchlists(spark: SparkSession, root: str, lists_glob: str = "*/watchlist.json",
+                    logs_glob: str = "*/run.log") -> DataFrame:
+    """Watchlist runs, one folder per date, with the lines of their run log.
 
     The date falls back to the folder name.
     """
-    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1)
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"(\d{4}-\d{2}-\d{2})/[^/]+$", 1)
     lists = (spark.read.schema(schemas.WATCHLIST).option("multiLine", True)
-             .json(f"{root}/*/watchlist.json").withColumn("folder", folder))
-    logs = (spark.read.option("wholetext", True).text(f"{root}/*/run.log")
-            .select(F.split(F.rtrim("value"), "\n").alias("run_log"), folder.alias("folder")))
-    return lists.join(logs, "folder", "left").withColumn(
-        "as_of", F.coalesce("as_of", "folder")).withColumn(
-        "n_candidates", F.size(F.coalesce("candidates", F.array())))
+             .json(f"{root}/{lists_glob}").withColumn("_day", folder))
+    logs = (spark.read.text(f"{root}/{logs_glob}", wholetext=True)
+            .select(F.split(F.regexp_replace("value", r"\s+$", ""), "\n").alias("run_log"), folder.alias("_day")))
+    return lists.join(logs, "_day", "left").withColumn(
+        "as_of", F.coalesce("as_of", "_day")).withColumn(
+        "n_candidates", F.size(F.coalesce("candidates", F.array()))).drop("_day")
 
 
 def export_json(df: DataFrame, path: str, by: str | None = None) -> None:
