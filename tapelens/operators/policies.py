@@ -258,10 +258,13 @@ def fetch_windows(symbols: DataFrame, as_of: Column,
                                    end.alias("end"))
 
 
-def tier2_calls(symbols: DataFrame, as_of: Column,
-                sessions: int = K.PRICE_SESSIONS) -> DataFrame:
+def first_weekday(day: Column, sessions: int = K.PRICE_SESSIONS) -> Column:
+    """The first of the last `sessions` Monday-Friday dates."""
+    return F.get(S.weekdays_back(day, sessions), F.lit(0))
+
+
+def tier2_calls(symbols: DataFrame, start: Column, as_of: Column) -> DataFrame:
     """Every symbol x the seven per-symbol endpoints, with their parameters."""
-    start = F.get(S.weekdays_back(as_of, sessions), F.lit(0))
     dated = F.col("endpoint").isin(*K.TIER2_DATED)
     return symbols.select("symbol", F.explode(F.array(*[
         F.lit(e) for e in K.TIER2_ENDPOINTS])).alias("endpoint")).select(

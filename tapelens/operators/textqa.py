@@ -116,10 +116,13 @@ def wording_findings(text: Column, phrases: list[tuple[str, str]] | None = None,
     """array<struct<quote, reason>>: forbidden phrases, then sensitive words outside a fixed
     collocation. The exact disclaimer is removed first."""
     clean = F.replace(_text(text), F.lit(K.DISCLAIMER), F.lit(" "))
-    found = [
-        F.transform(_hits(clean, pattern), lambda h, why=reason: F.struct(
-            _quote(h["before"], h["hit"], h["after"]).alias("quote"), F.lit(why).alias("reason")))
-        for pattern, reason in (K.FORBIDDEN_PHRASES if phrases is None else phrases)]
+
+    def phrase(pattern: str, reason: str) -> Column:
+        return F.transform(_hits(clean, pattern), lambda h: F.struct(
+            _quote(h["before"], h["hit"], h["after"]).alias("quote"),
+            F.lit(reason).alias("reason")))
+
+    found = [phrase(*rule) for rule in (K.FORBIDDEN_PHRASES if phrases is None else phrases)]
 
     def lone(h: Column) -> Column:
         reach = F.lit(K.COLLOCATION_REACH)

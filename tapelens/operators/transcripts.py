@@ -67,10 +67,11 @@ def assemble(heads: DataFrame, hypotheses: DataFrame, steps: DataFrame, evidence
                  _nested(steps, key, "steps", ["step"]),
                  _nested(evidence, key, "evidence", ["probe", "id"]),
                  _nested(components, key, "components", ["position"])):
-        out = out.join(part, key, "left")
-    spent = _total(F.coalesce("steps", F.array().cast(steps_type())), "credits_spent")
+        name = part.columns[-1]
+        nothing = F.array().cast(part.schema[name].dataType)
+        out = out.join(part, key, "left").withColumn(name, F.coalesce(name, nothing))
     return (
-        out.withColumn("credits_total", spent)
+        out.withColumn("credits_total", _total(F.col("steps"), "credits_spent"))
         .withColumn("baseline_credits", F.greatest(F.lit(K.BASELINE_COST),
                                                    F.col("credits_total")))
         .withColumn("plan", F.struct("hypotheses", "credit_budget_requested", "rationale"))
@@ -78,12 +79,6 @@ def assemble(heads: DataFrame, hypotheses: DataFrame, steps: DataFrame, evidence
     )
 
 
-def steps_type() -> str:
-    return ("array<struct<step: int, hypothesis: string, probe: string, finding: string, "
-            "next_action: string, new_probe: string, budget_granted: int, reason: string, "
-            "credits_spent: int, credits_remaining: int>>")
-
-
 # -- checks ----------------------------------------------------------------------------------------
 def budget_adds_up() -> Column:
     """remaining(step) = remaining before - spent + granted, from the requested budget on."""

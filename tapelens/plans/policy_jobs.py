@@ -314,6 +314,12 @@ def plan_day(t):
     return pit.trading_calendar(t).agg(F.max("trade_date")).scalar()
 
 
+def tier2(t):
+    span = pit.trading_calendar(t).agg(F.max("trade_date").alias("day")).select(
+        policies.first_weekday(F.col("day")).alias("start"))
+    return policies.tier2_calls(traded(t), span.scalar(), plan_day(t))
+
+
 def traded(t):
     return t["daily_transaction"].select("symbol").distinct()
 
@@ -325,7 +331,7 @@ def windows(t):
 
 @query("q14_tier2_worklist", "select * from tier2")
 def worklist(t):
-    return policies.tier2_calls(traded(t), plan_day(t))
+    return tier2(t)
 
 
 @query("d22_plan_cost", f"""
@@ -335,5 +341,5 @@ def worklist(t):
 def plan_cost(t):
     calls = policies.fetch_windows(traded(t), plan_day(t)).select(
         F.lit(1).alias("stage"), "endpoint").unionByName(
-        policies.tier2_calls(traded(t), plan_day(t)).select(F.lit(3).alias("stage"), "endpoint"))
+        tier2(t).select(F.lit(3).alias("stage"), "endpoint"))
     return policies.plan_cost(calls)

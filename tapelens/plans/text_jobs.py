@@ -101,9 +101,13 @@ def tickers(t):
         F.col("text"), F.col("symbol"))).alias("ticker")).distinct()
 
 
+def quoted(text: str) -> str:
+    return text.replace("'", "''")
+
+
 _CLEAN = f"replace(text, '{K.DISCLAIMER}', ' ')"
 C.CTES["wording"] = " union all ".join(
-    f"select doc_id, '{why}' as reason, len(regexp_extract_all({_CLEAN}, '(?i){p}')) as hits "
+    f"select doc_id, '{quoted(why)}' as reason, len(regexp_extract_all({_CLEAN}, '(?i){p}')) as hits "
     f"from corpus" for p, why in K.FORBIDDEN_PHRASES) + rf"""
     union all
     select doc_id, 'bare word ' || lower(w), count(*) from (
@@ -260,7 +264,7 @@ C.CTES.update({
 def assembled(t):
     return built(t).select(
         "doc_id", "symbol", "as_of", F.size("steps").alias("n_steps"), "credits_total",
-        "baseline_credits", F.greatest(F.size("evidence"), F.lit(0)).alias("n_evidence"),
+        "baseline_credits", F.size("evidence").alias("n_evidence"),
         F.size(F.filter("components", lambda c: c["investigated"])).alias("n_measured"))
 
 
@@ -269,9 +273,8 @@ def assembled(t):
 def transcript_scan(t):
     """Written as one JSON document per file folder and read back with its checks."""
     path = scratch_dir(t.spark)
-    docs = built(t).withColumn("evidence", F.coalesce("evidence", F.array().cast(
-        documents.schemas.EVIDENCE_ARRAY)))
-    docs.select(F.to_json(F.struct(*[c for c in docs.columns])).alias("value")).write.text(path)
+    docs = built(t)
+    docs.select(F.to_json(F.struct(*docs.columns)).alias("value")).write.text(path)
     back = documents.read_transcripts(t.spark, path, multi_line=False, extra="doc_id long")
     return back.select("doc_id", "symbol", "as_of", F.size("steps").alias("n_steps"), "problem")
 
@@ -280,10 +283,12 @@ def transcript_scan(t):
     select doc_id, rule from (
       select h.doc_id, unnest(['band_matches_score', 'confidence_is_measured_weight',
                'budget_adds_up', 'no_repeated_probe', 'ends_with_conclude',
-               'at_most_25_credits', 'at_most_8_steps', 'escalation_names_probe']) as rule,
+               'at_most_25_credits', 'at_most_8_steps', 'escalation_names_probe',
+               'score_in_range']) as rule,
              unnest([h.band = {C.band('h.score')},
                      abs(coalesce(w.w, 0) - h.confidence) <= 0.01, b.ok, s.probes = s.n,
-                     s.last_action = 'conclude', s.total <= 25, s.n <= 8, true]) as ok
+                     s.last_action = 'conclude', s.total <= 25, s.n <= 8, true,
+                     h.confidence between 0 and 1]) as ok
       from transcript_heads h left join doc_weights w on w.doc_id = h.doc_id
       join (select doc_id, count(distinct probe) as probes, count(*) as n, sum(spent) as total,
                    arg_max(next_action, step) as last_action
@@ -313,9 +318,8 @@ def budget_ledger(t):
     where sub_score is not null and step > 4""")
 def references(t):
     """Evidence of later steps is dropped, so their references must be reported."""
-    docs = built(t).withColumn("evidence", F.filter(F.coalesce("evidence", F.array().cast(
-        documents.schemas.EVIDENCE_ARRAY)), lambda e: F.regexp_extract(
-            e["id"], r"(\d+)$", 1).cast("int") <= 4))
+    docs = built(t).withColumn("evidence", F.filter("evidence", lambda e: F.regexp_extract(
+        e["id"], r"(\d+)$", 1).cast("int") <= 4))
     return transcripts.unknown_references(docs)
 
 

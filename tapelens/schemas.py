@@ -64,10 +64,6 @@ LEDGER = (
     "ts string, phase string, endpoint string, transport string, credits int, "
     "params_hash string, run_id string, symbol string")
 
-EVIDENCE_ARRAY = (
-    "array<struct<id: string, label: string, value: string, display: string, "
-    "probe: string, source_endpoint: string, as_of: timestamp, credits_spent: int>>")
-
 TRANSCRIPT = (
     "symbol string, as_of date, weights_version string, "
     "plan struct<hypotheses: array<struct<id: string, claim: string, probes: array<string>, "
