@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from tapelens.plans import registry
@@ -30,6 +31,7 @@ def main() -> None:
         start = time.perf_counter()
         jobs[name](spark, directory).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        print(name, seconds[name], file=sys.stderr, flush=True)
     print(json.dumps({
         "metric": "total wall time of the headline queries",
         "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,

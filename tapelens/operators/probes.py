@@ -23,21 +23,16 @@ from tapelens.operators import pit
 
 
 # -- shared pieces ----------------------------------------------------------------------------
-def let(value: Column, body) -> Column:
-    """Evaluate `value` once and use it in `body` (lambdas have no common subexpressions)."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def array_median(values: Column) -> Column:
     """Exact median of a short array."""
-    return let(F.array_sort(values), lambda a: (
+    return S.let(F.array_sort(values), lambda a: (
         F.get(a, F.floor(F.size(a) / 2).cast("int"))
         + F.get(a, F.floor((F.size(a) - 1) / 2).cast("int"))) / 2)
 
 
 def robust_baseline(values: Column) -> Column:
     """struct(median, spread): median and 1.4826 x median absolute deviation."""
-    return let(array_median(values), lambda m: F.struct(
+    return S.let(array_median(values), lambda m: F.struct(
         m.alias("median"),
         (array_median(F.transform(values, lambda v: F.abs(v - m))) * K.MAD_TO_SIGMA)
         .alias("spread")))

@@ -7,6 +7,7 @@ texts. `(?U)` gives letters and digits of every script their meaning.
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,13 +67,14 @@ def allowed_numbers(evidence: Column) -> Column:
 
 def unsupported_numbers(narrative: Column, allowed: Column) -> Column:
     """Tokens whose key is not allowed, in order, each key once."""
-    strange = F.filter(number_tokens(narrative),
-                       lambda t: ~F.array_contains(allowed, t["key"]))
-    keyed = F.transform(strange, lambda t: t["key"])
-    first = F.filter(F.transform(strange, lambda t, i: F.struct(
-        t["token"].alias("token"), (F.array_position(keyed, t["key"]) == i + 1).alias("first"))),
-        lambda t: t["first"])
-    return F.transform(first, lambda t: t["token"])
+    def first_of_each(strange: Column) -> Column:
+        return S.let(F.transform(strange, lambda t: t["key"]), lambda keys: F.transform(
+            F.filter(strange, lambda t, i: F.array_position(keys, t["key"]) == i + 1),
+            lambda t: t["token"]))
+
+    return S.let(allowed, lambda known: S.let(
+        F.filter(number_tokens(narrative), lambda t: ~F.array_contains(known, t["key"])),
+        first_of_each))
 
 
 # -- names --------------------------------------------------------------------------------------
@@ -96,9 +98,11 @@ def _quote(before: Column, hit: Column, after: Column) -> Column:
 
 def _hits(text: Column, pattern: str) -> Column:
     """array<struct<before, hit, after>> with one character more than a quote needs."""
-    far = K.QUOTE_REACH + 1
-    full = (rf"(?isuU)(?<=(\A.{{0,{far - 1}}}|.{{{far}}}))({pattern})(?=(.{{0,{far}}}))")
-    groups = [1, 2, 3 + _group_count(pattern)]
+    # The look-ahead comes first: the costly look-behind only runs where there is a hit.
+    far, inner = K.QUOTE_REACH + 1, re.compile(pattern).groups
+    full = (rf"(?isuU)(?={pattern})(?<=(\A.{{0,{far - 1}}}|.{{{far}}}))({pattern})"
+            rf"(?=(.{{0,{far}}}))")
+    groups = [inner + 1, inner + 2, 2 * inner + 3]
     parts = [F.regexp_extract_all(text, F.lit(full), F.lit(g)) for g in groups]
     zipped = F.arrays_zip(*[p.alias(n) for p, n in zip(parts, ("before", "hit", "after"))])
     gated = F.when(text.rlike(f"(?iuU){pattern}"), F.transform(zipped, lambda z: F.struct(
@@ -106,23 +110,23 @@ def _hits(text: Column, pattern: str) -> Column:
     return F.coalesce(gated, F.array().cast("array<struct<before:string,hit:string,after:string>>"))
 
 
-def _group_count(pattern: str) -> int:
-    import re
-    return re.compile(pattern).groups
-
-
 def wording_findings(text: Column, phrases: list[tuple[str, str]] | None = None,
                      sensitive: list[str] | None = None) -> Column:
     """array<struct<quote, reason>>: forbidden phrases, then sensitive words outside a fixed
     collocation. The exact disclaimer is removed first."""
-    clean = F.replace(_text(text), F.lit(K.DISCLAIMER), F.lit(" "))
+    cleaned = F.replace(_text(text), F.lit(K.DISCLAIMER), F.lit(" "))
+    return S.let(cleaned, lambda clean: _findings(
+        clean, K.FORBIDDEN_PHRASES if phrases is None else phrases,
+        K.SENSITIVE_WORDS if sensitive is None else sensitive))
+
 
+def _findings(clean: Column, phrases: list[tuple[str, str]], sensitive: list[str]) -> Column:
     def phrase(pattern: str, reason: str) -> Column:
         return F.transform(_hits(clean, pattern), lambda h: F.struct(
             _quote(h["before"], h["hit"], h["after"]).alias("quote"),
             F.lit(reason).alias("reason")))
 
-    found = [phrase(*rule) for rule in (K.FORBIDDEN_PHRASES if phrases is None else phrases)]
+    found = [phrase(*rule) for rule in phrases]
 
     def lone(h: Column) -> Column:
         reach = F.lit(K.COLLOCATION_REACH)
@@ -131,7 +135,7 @@ def wording_findings(text: Column, phrases: list[tuple[str, str]] | None = None,
         following = F.lower(F.regexp_extract(F.left(h["after"], reach), r"(?U)([\w-]+)", 1))
         return ~(previous.isin(*K.WORDS_BEFORE) | following.isin(*K.WORDS_AFTER))
 
-    words = "|".join(K.SENSITIVE_WORDS if sensitive is None else sensitive)
+    words = "|".join(sensitive)
     alone = F.filter(_hits(clean, rf"\b(?:{words})\b"), lone)
     found.append(F.transform(alone, lambda h: F.struct(
         _quote(h["before"], h["hit"], h["after"]).alias("quote"),

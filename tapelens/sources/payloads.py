@@ -93,34 +93,50 @@ def _pairs(*pairs: tuple[str, Column]) -> Column:
     return F.create_map(*[x for k, v in pairs for x in (F.lit(k), v.cast("string"))])
 
 
+def no_rows() -> Column:
+    return F.array().cast(f"array<{ROW}>")
+
+
 # -- shapes ---------------------------------------------------------------------------------------
+def _rows_of(payload: Column, shape) -> Column:
+    """`shape` of the parsed object (parsed once), the plain rows of anything else."""
+    return F.when(is_object(payload), S.let(as_map(payload), shape)).otherwise(unwrap(payload))
+
+
 def unwrap(payload: Column) -> Column:
     """List, wrapper object or single object -> rows; the wrapper's symbol goes into the rows."""
-    top = as_map(payload)
-    context = F.map_filter(top, lambda k, _: k.isin("symbol", "ticker"))
-    rows = F.array(top)
-    for key in reversed(K.ENVELOPE_KEYS):
-        inner = top[key]
-        rows = (
-            F.when(is_list(inner), F.transform(object_rows(inner), lambda r: over(context, r)))
-            .when(is_object(inner), F.array(over(context, as_map(inner)))).otherwise(rows))
-    return F.when(is_list(payload), object_rows(payload)).when(is_object(payload), rows).otherwise(
-        F.array().cast(f"array<{ROW}>"))
+    def shape(top: Column) -> Column:
+        context = F.map_filter(top, lambda k, _: k.isin("symbol", "ticker"))
+
+        def rows(base: Column) -> Column:
+            out = F.array(top)
+            for key in reversed(K.ENVELOPE_KEYS):
+                inner = top[key]
+                out = (
+                    F.when(is_list(inner), F.transform(
+                        object_rows(inner), lambda r: over(base, r)))
+                    .when(is_object(inner), F.array(over(base, as_map(inner)))).otherwise(out))
+            return out
+
+        return S.let(context, rows)
+
+    return F.when(is_list(payload), object_rows(payload)).when(
+        is_object(payload), S.let(as_map(payload), shape)).otherwise(no_rows())
 
 
 def keyed_by_date(payload: Column) -> Column:
     """{date: [rows]} -> rows with the date."""
-    entries = F.filter(F.map_entries(as_map(payload)), lambda e: is_list(e["value"]))
-    rows = F.flatten(F.transform(entries, lambda e: F.transform(
-        object_rows(e["value"]), lambda r: over(_pairs(("date", e["key"])), r))))
-    return F.when(is_object(payload), rows).otherwise(unwrap(payload))
+    def shape(top: Column) -> Column:
+        entries = F.filter(F.map_entries(top), lambda e: is_list(e["value"]))
+        return F.flatten(F.transform(entries, lambda e: F.transform(
+            object_rows(e["value"]), lambda r: over(_pairs(("date", e["key"])), r))))
+
+    return _rows_of(payload, shape)
 
 
 def top_changes(payload: Column) -> Column:
     """{top_gainers: {period: [rows]}, top_losers: ...} -> rows with direction and period."""
-    top = as_map(payload)
-
-    def side(name: str) -> Column:
+    def side(top: Column, name: str) -> Column:
         periods = F.filter(F.map_entries(F.coalesce(
             F.when(is_object(top[name]), as_map(top[name])), F.create_map().cast(ROW))),
             lambda e: is_list(e["value"]))
@@ -128,58 +144,62 @@ def top_changes(payload: Column) -> Column:
             object_rows(e["value"]),
             lambda r: over(_pairs(("direction", F.lit(name)), ("period", e["key"])), r))))
 
-    rows = F.concat(side("top_gainers"), side("top_losers"))
-    return F.when(is_object(payload), rows).otherwise(unwrap(payload))
+    return _rows_of(payload, lambda top: F.concat(
+        side(top, "top_gainers"), side(top, "top_losers")))
 
 
 def company_report(payload: Column) -> Column:
     """Nested report -> one profile row; the sub-industry stands in for the sub-sector."""
-    top = as_map(payload)
-    overview = as_map(top["overview"])
-    sector = F.coalesce(F.nullif(overview["sub_sector"], F.lit("")), overview["sub_industry"])
-    row = _pairs(("symbol", top["symbol"]), ("company_name", top["company_name"]),
-                 ("sub_sector", sector), ("market_cap", overview["market_cap"]),
-                 ("listing_date", overview["listing_date"]))
-    one = F.array(F.map_filter(row, lambda _, v: v.isNotNull()))
-    return F.when(is_object(payload), one).otherwise(unwrap(payload))
+    def shape(top: Column) -> Column:
+        def row(overview: Column) -> Column:
+            sector = F.coalesce(F.nullif(overview["sub_sector"], F.lit("")),
+                                overview["sub_industry"])
+            cells = _pairs(("symbol", top["symbol"]), ("company_name", top["company_name"]),
+                           ("sub_sector", sector), ("market_cap", overview["market_cap"]),
+                           ("listing_date", overview["listing_date"]))
+            return F.array(F.map_filter(cells, lambda _, v: v.isNotNull()))
+
+        return S.let(as_map(top["overview"]), row)
+
+    return _rows_of(payload, shape)
 
 
 def broker_top(payload: Column) -> Column:
     """Buyers and sellers -> rows with their side, dated at the end of the period."""
-    top = as_map(payload)
-
-    def side(name: str) -> Column:
+    def side(top: Column, name: str) -> Column:
         base = _pairs(("symbol", top["symbol"]), ("trade_date", top["end"]),
                       ("side", F.lit(name)))
-        rows = F.coalesce(F.when(is_list(top[name]), object_rows(top[name])),
-                          F.array().cast(f"array<{ROW}>"))
+        rows = F.coalesce(F.when(is_list(top[name]), object_rows(top[name])), no_rows())
         return F.transform(rows, lambda r: over(base, r))
 
-    rows = F.concat(side("top_buyers"), side("top_sellers"))
-    return F.when(is_object(payload), rows).otherwise(unwrap(payload))
+    return _rows_of(payload, lambda top: F.concat(
+        side(top, "top_buyers"), side(top, "top_sellers")))
 
 
 def corporate_actions(payload: Column) -> Column:
     """{type: [rows]} -> rows dated by the column of their type; undated ones drop out."""
-    top = as_map(payload)
-    block = as_map(top["corporate_actions"])
     fields = F.create_map(*[F.lit(x) for kv in K.ACTION_DATE_FIELD.items() for x in kv])
 
-    def one(kind: Column, row: Column) -> Column:
+    def one(symbol: Column, kind: Column, row: Column) -> Column:
         column = F.coalesce(fields[kind], F.lit("ex_date"))
         present = lambda c: F.nullif(c, F.lit(""))
         day = F.coalesce(present(F.element_at(row, column)), present(row["ex_date"]),
                          present(row["date"]))
         detail = F.to_json(F.map_filter(row, lambda _, v: v.isNotNull() & (v != "")))
         return F.when(day.isNotNull(), _pairs(
-            ("symbol", top["symbol"]), ("action_date", day), ("action_type", kind),
+            ("symbol", symbol), ("action_date", day), ("action_type", kind),
             ("detail", F.left(detail, F.lit(400)))))
 
-    entries = F.filter(F.map_entries(block), lambda e: is_list(e["value"]))
-    rows = F.flatten(F.transform(entries, lambda e: F.transform(
-        object_rows(e["value"]), lambda r: one(e["key"], r))))
-    found = F.filter(rows, lambda r: r.isNotNull())
-    return F.when(is_object(top["corporate_actions"]), found).otherwise(unwrap(payload))
+    def shape(top: Column) -> Column:
+        entries = F.filter(F.map_entries(as_map(top["corporate_actions"])),
+                           lambda e: is_list(e["value"]))
+        rows = F.flatten(F.transform(entries, lambda e: F.transform(
+            object_rows(e["value"]), lambda r: one(top["symbol"], e["key"], r))))
+        return F.when(is_object(top["corporate_actions"]),
+                      F.filter(rows, lambda r: r.isNotNull()))
+
+    return F.coalesce(F.when(is_object(payload), S.let(as_map(payload), shape)),
+                      unwrap(payload))
 
 
 SHAPES = {
@@ -246,10 +266,10 @@ def parse(payloads: DataFrame, endpoint: str, symbol_pattern: str = "^[A-Z]{4}$"
         return F.struct(good.alias("ok"), F.struct(*fields).alias("fields"))
 
     checked = flatten(payloads, endpoint).withColumn("checked", F.transform("rows", record))
-    no_rows = F.size(F.coalesce("rows", F.array().cast(f"array<{ROW}>"))) == 0
+    nothing = F.size(F.coalesce("rows", no_rows())) == 0
     failure = (
         F.when(error.isNotNull(), F.concat(F.lit("API error: "), error))
-        .when(no_rows & ~says_empty, "no readable rows")
+        .when(nothing & ~says_empty, "no readable rows")
         .when(F.exists("checked", lambda c: ~c["ok"]), "invalid row")
     )
     return checked.withColumn("failure", failure).select(
