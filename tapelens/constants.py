@@ -124,7 +124,8 @@ PROBE_COST = {p: sum(call_cost(e) for e in eps) for p, eps in PROBE_ENDPOINTS.it
 BASELINE_COST = sum(PROBE_COST.values())
 
 # --- fixed values: text rules ----------------------------------------------------------------
-DISCLAIMER = "PANTAU adalah alat informasi dan analisis, bukan saran investasi."
+# The disclaimer, whatever one-word service name it opens with.
+DISCLAIMER_PATTERN = r"\w+ adalah alat informasi dan analisis, bukan saran investasi\."
 UNIT_PATTERN = "%|persen|σ|sigma|×|x|M|T|Jt|jt|juta|miliar|triliun|rb|ribu"
 UNIT_NAMES = {
     "%": "%", "persen": "%", "σ": "σ", "sigma": "σ", "×": "×", "x": "×", "rb": "rb",

@@ -114,7 +114,7 @@ def wording_findings(text: Column, phrases: list[tuple[str, str]] | None = None,
                      sensitive: list[str] | None = None) -> Column:
     """array<struct<quote, reason>>: forbidden phrases, then sensitive words outside a fixed
     collocation. The exact disclaimer is removed first."""
-    cleaned = F.replace(_text(text), F.lit(K.DISCLAIMER), F.lit(" "))
+    cleaned = F.regexp_replace(_text(text), K.DISCLAIMER_PATTERN, " ")
     return S.let(cleaned, lambda clean: _findings(
         clean, K.FORBIDDEN_PHRASES if phrases is None else phrases,
         K.SENSITIVE_WORDS if sensitive is None else sensitive))

@@ -163,7 +163,7 @@ VIEWS: dict[str, str] = {
                            when '3-MEDIUM' then concat(' seperti ', """ + code(
                                "o_orderkey % 25 + 1") + """, ', target  harga baru')
                            when '5-LOW' then
-    '. PANTAU adalah alat informasi dan analisis, bukan saran investasi.'
+    '. Layanan adalah alat informasi dan analisis, bukan saran investasi.'
                            else ' (4,1σ) — kapitalisasi 12 jt' end, '.') as narrative,
                concat(cast(o_custkey % 97 as string), ',', cast(o_orderkey % 10 as string), '%')
                    as display_1,

@@ -105,7 +105,7 @@ def quoted(text: str) -> str:
     return text.replace("'", "''")
 
 
-_CLEAN = f"replace(text, '{K.DISCLAIMER}', ' ')"
+_CLEAN = f"regexp_replace(text, '{K.DISCLAIMER_PATTERN}', ' ', 'g')"
 C.CTES["wording"] = " union all ".join(
     f"select doc_id, '{quoted(why)}' as reason, len(regexp_extract_all({_CLEAN}, '(?i){p}')) as hits "
     f"from corpus" for p, why in K.FORBIDDEN_PHRASES) + rf"""

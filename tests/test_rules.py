@@ -59,7 +59,7 @@ def test_wording(spark):
     assert found("transaksi jual insider meningkat, net beli naik") == []
     assert found("Saatnya beli sekarang") == ["call to trade", "bare word beli"]
     assert found("ini saran investasi") == ["investment advice"]
-    assert found(K.DISCLAIMER) == []
+    assert found("Layanan adalah alat informasi dan analisis, bukan saran investasi.") == []
     quote = one(spark, textqa.wording_findings(F.lit("x" * 60 + " target harga " + "y" * 60)))
     assert quote[0]["quote"] == "…" + "x" * 37 + " target harga " + "y" * 37 + "…"
     edge = one(spark, textqa.wording_findings(F.lit("a" * 37 + " cuan")))
