@@ -11,9 +11,9 @@ _MASK = {name: quality_rules.mask_of(rules) for name, rules in quality_rules.POL
 _QUALITY = rf"""
 WITH body AS (
     SELECT doc_id, coalesce(text, '') AS body,
-           list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words,
+           list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
            list_filter(string_split(coalesce(text, ''), chr(10)),
-                       x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+                       lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
     FROM documents),
 windows AS (
     SELECT doc_id, unnest(range(1, len(words) - 3)) AS p, words FROM body WHERE len(words) >= 5),
