@@ -47,3 +47,28 @@ SELECT policy, rule, count(*) AS n_docs,
        count(*) FILTER (WHERE (failure_bits & mask) = bit) AS n_only_reason
 FROM ledger, cases GROUP BY policy, rule
 """
+
+MINMAX_DEDUP = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+    FROM documents),
+places AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS p FROM words WHERE len(w) > 0),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 3], ' ') AS s FROM places),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k
+    FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+    SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+    WHERE 100 * k >= 80 * (x.n + y.n - k)),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reached(v, c) AS (
+    SELECT doc_id, doc_id FROM documents
+    UNION SELECT e.b, r.c FROM reached r JOIN both_ways e ON e.a = r.v AND r.c < e.b)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, min(r.c) AS component_id,
+       d.doc_id = min(r.c) AS kept
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN reached r ON r.v = d.doc_id
+GROUP BY d.doc_id, s.n
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapelens.llm import checks, quality_rules
+from tapelens.llm import checks, minmax_dedup, quality_rules
 from tapelens.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("quality_ablations", checks.QUALITY_ABLATIONS)
 def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.ablations(quality_rules.ledger(table(spark, sf_dir, "documents")))
+
+
+@query("op6_minmax_dedup", checks.MINMAX_DEDUP)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4)
