@@ -7,9 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapelens.llm import checks, minmax_dedup, quality_rules
+from tapelens.llm import checks, minmax_dedup, packing, quality_rules
 from tapelens.llm.base import table
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
@@ -43,3 +49,8 @@ def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_minmax_dedup", checks.MINMAX_DEDUP)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4)
+
+
+@query("op10_packing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path()))
