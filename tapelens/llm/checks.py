@@ -72,3 +72,35 @@ SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, min(r.c) AS component_id,
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN reached r ON r.v = d.doc_id
 GROUP BY d.doc_id, s.n
 """
+
+DECONTAMINATION = r"""
+WITH item AS (
+    SELECT item_id, list_filter(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
+doc AS (
+    SELECT doc_id, list_filter(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+item_place AS (SELECT item_id, w, len(w) AS n, unnest(range(1, len(w) - 3)) AS p FROM item WHERE len(w) >= 5),
+item_shingle AS (
+    SELECT item_id, n, array_to_string(w[p:p + 4], ' ') AS s, count(*) AS c FROM item_place GROUP BY ALL),
+doc_place AS (SELECT doc_id, w, len(w) AS of, unnest(range(1, len(w) - 3)) AS p FROM doc WHERE len(w) >= 5),
+doc_shingle AS (SELECT doc_id, of, p, array_to_string(w[p:p + 4], ' ') AS s FROM doc_place),
+start AS (
+    SELECT DISTINCT doc_id, of, n,
+           unnest(range(greatest(1, p - n + 5), least(p, greatest(1, of - n + 1)) + 1)) AS start
+    FROM doc_shingle JOIN (SELECT DISTINCT n, s FROM item_shingle) USING (s)),
+in_window AS (
+    SELECT w.doc_id, w.n, w.of, w.start, d.s, count(*) AS c
+    FROM start w JOIN doc_shingle d ON d.doc_id = w.doc_id AND d.p BETWEEN w.start AND w.start + w.n - 5
+    GROUP BY ALL),
+scored AS (
+    SELECT doc_id, item_id, x.n, start, sum(least(x.c, i.c))::DOUBLE AS k,
+           least(x.n, any_value(of)) + x.n - 8 AS either
+    FROM in_window x JOIN item_shingle i ON i.n = x.n AND i.s = x.s
+    GROUP BY doc_id, item_id, x.n, start)
+SELECT doc_id, item_id, start AS start_word, n AS n_words, k / (either - k) AS similarity
+FROM scored WHERE k / (either - k) >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY k / (either - k) DESC, start) = 1
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapelens.llm import checks, minmax_dedup, packing, quality_rules
+from tapelens.llm import checks, decontaminate, minmax_dedup, packing, quality_rules
 from tapelens.llm.base import table
 
 def tokenizer_path() -> str:
@@ -54,3 +54,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+@query("op3_decontamination", checks.DECONTAMINATION)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("id_", "hash_")
