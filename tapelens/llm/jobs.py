@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapelens.llm import checks, decontaminate, minmax_dedup, packing, pii, quality_rules, spans
+from tapelens.llm import checks, decontaminate, minmax_dedup, packing, pii, quality_rules, secret_links, spans
 from tapelens.llm.base import table
 
 def tokenizer_path() -> str:
@@ -71,3 +71,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(spans.written(F.col("found")), F.lit("")).alias("spans"),
         F.coalesce(F.aggregate(F.transform("found", lambda s: s["score"]), F.lit(0.0), lambda a, b: F.greatest(a, b)),
                    F.lit(0.0)).alias("top_score"))
+
+
+@query("op4_secret_links")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_links.scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[spans.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in secret_links.BASE_KINDS],
+        F.sha2(spans.written(F.col("base")), 256).alias("base_sha256"),
+        spans.written(F.col("found")).alias("spans"))
