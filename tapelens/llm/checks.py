@@ -104,3 +104,28 @@ SELECT doc_id, item_id, start AS start_word, n AS n_words, k / (either - k) AS s
 FROM scored WHERE k / (either - k) >= 0.8
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY k / (either - k) DESC, start) = 1
 """
+
+PERSPECTIVES = r"""
+WITH said AS (
+    SELECT DISTINCT conv_id, turn, role, coalesce(text, '') AS text
+    FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM said WHERE role <> 'system'),
+lines AS (
+    SELECT s.conv_id, p.speaker, s.turn // 64 AS block, s.turn, s.role, s.text,
+           CASE WHEN s.role = p.speaker THEN '<|assistant|>' || chr(10)
+                WHEN s.role = 'system' THEN '<|system|>' || chr(10)
+                ELSE '<|user|>name=' || coalesce(s.role, 'unknown') || chr(10) END AS head,
+           s.text || '<|end|>' || chr(10) AS body, coalesce(s.role = p.speaker, false) AS own
+    FROM said s JOIN speakers p USING (conv_id)),
+placed AS (
+    SELECT *, sum(length(head) + length(body)) OVER (
+        PARTITION BY conv_id, speaker, block ORDER BY turn, role NULLS FIRST, text
+        ROWS UNBOUNDED PRECEDING)::BIGINT AS stop
+    FROM lines)
+SELECT conv_id, speaker, block, count(*) AS n_turns,
+       string_agg(head || body, '' ORDER BY turn, role NULLS FIRST, text) AS text,
+       coalesce(string_agg((stop - length(body))::VARCHAR || ':' || stop::VARCHAR, ','
+                ORDER BY turn, role NULLS FIRST, text) FILTER (WHERE own), '') AS mask,
+       coalesce(sum(length(body)) FILTER (WHERE own), 0)::BIGINT AS n_trained
+FROM placed GROUP BY conv_id, speaker, block
+"""

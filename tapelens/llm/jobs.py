@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapelens.llm import checks, decontaminate, minmax_dedup, packing, pii, quality_rules, secret_links, spans
+from tapelens.llm import checks, decontaminate, minmax_dedup, packing, perspectives, pii, quality_rules, secret_links, spans
 from tapelens.llm.base import table
 
 def tokenizer_path() -> str:
@@ -81,3 +81,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[spans.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in secret_links.BASE_KINDS],
         F.sha2(spans.written(F.col("base")), 256).alias("base_sha256"),
         spans.written(F.col("found")).alias("spans"))
+
+
+@query("op2_perspectives", checks.PERSPECTIVES)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives.rotate(table(spark, sf_dir, "conversations"))

@@ -13,8 +13,12 @@ Steps, all as Spark jobs:
 3. every class is compared with the centre it shares most bands with (a bucket names its
    smallest class as centre): one pair per class, whatever the size of a bucket;
 4. components over the confirmed links;
-5. buckets that still hold several components give all pairs across components, each compared
-   exactly; pairs inside a component cannot change the result and are never made.
+5. documents of buckets that still hold several components are searched for links across
+   components (links inside one cannot change the result): a similar pair must share one of
+   the rarest shingles of both. One round pairs each holder of such a shingle with one member of
+   the largest component that holds it, which closes most cases with few pairs; then all
+   documents that share one and are still apart are compared, unless its places in the
+   order rule the pair out.
 
 So no link that the bands can find is lost and no bucket is expanded into all its pairs.
 A pair at the threshold 0.8 misses all 32 bands of 4 values with probability 5e-8.
@@ -34,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapelens.llm.base import whole_text
@@ -54,13 +58,6 @@ def _words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
 
 
-def shingle_set(text: str, k: int) -> set[tuple[bytes, ...]]:
-    words = _words(text)
-    if len(words) <= k:
-        return {tuple(words)} if words else set()
-    return set(zip(*(words[i:] for i in range(k))))
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -130,29 +127,86 @@ def signatures(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame
         rows, "doc_id long, n_shingles long, digest string, bands array<long>")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough.
+def shingle_sets(docs: DataFrame, ids: DataFrame, shingle_words: int) -> DataFrame:
+    """id and sorted distinct shingle hashes of the documents in `ids`."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _WordHash()
+        for batch in batches:
+            found = [_hash_set(text, shingle_words, known).view(np.int64) for text in batch["text"]]
+            yield pd.DataFrame({"id": batch["id"], "shingles": found})
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), whole_text().alias("text"))
+    return texts.join(ids, "id", "left_semi").mapInPandas(rows, "id long, shingles array<long>")
+
+
+def confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough."""
+    met = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a")), "a").join(
+        sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b")), "b")
+    counted = met.select("a", "b", (F.size("of_a") + F.size("of_b")).alias("both"),
+                         F.size(F.array_intersect("of_a", "of_b")).alias("shared"))
+    return counted.where(100 * F.col("shared") >= percent * (F.col("both") - F.col("shared"))).select(
+        "a", "b").distinct()
+
 
-    Texts meet their pairs by two joins; pairs arrive sorted by b, so one set at a time is kept.
+def rare_shared(sets: DataFrame, pool: DataFrame, percent: int) -> DataFrame:
+    """The shingles of each pool document that any similar pool document must share one of.
+
+    With shingles ordered by how many pool documents have them, two sets with J >= t have a common
+    member among the first n - ceil(t * n) + 1 of either. Shingles of one document alone come
+    first and cannot be shared, so they only use places up; a document with too many of them
+    has no row.
     """
+    each = sets.join(pool, "id").select(
+        "id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    held_by = cut_lineage(each.groupBy("s").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
+    own = Window.partitionBy("id")
+    ranked = each.join(held_by, "s").select(
+        "*", F.row_number().over(own.orderBy("k", "s")).alias("place"),
+        F.count(F.lit(1)).over(own).alias("m"))
+    first = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
+    return ranked.where(F.col("place") <= first - (F.col("n") - F.col("m"))).select("id", "n", "m", "s", "place")
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, other = None, set()
-        for batch in batches:
-            keep = []
-            for b, text_a, text_b in zip(batch["b"], batch["text_a"], batch["text_b"]):
-                if last != (b, len(text_b)):
-                    last, other = (b, len(text_b)), shingle_set(text_b, shingle_words)
-                own = shingle_set(text_a, shingle_words)
-                shared = len(own & other)
-                keep.append(100 * shared >= percent * (len(own) + len(other) - shared))
-            yield batch.loc[keep, ["a", "b"]]
-
-    texts = docs.where(F.col("doc_id").isNotNull()).select(
-        F.col("doc_id").cast("long").alias("id"), whole_text().alias("text"))
-    with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    with_b = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return with_b.select("a", "b", "text_a", "text_b").mapInPandas(check, "a long, b long")
+
+def in_components(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """`rows` with the component c of each id; an id without a link is its own."""
+    return rows.join(labels.select(F.col("v").alias("id"), "c"), "id", "left").withColumn(
+        "c", F.coalesce("c", "id"))
+
+
+def open_keys(rows: DataFrame, key: str) -> DataFrame:
+    """The keys held by several components, with the component that holds most rows."""
+    per_component = rows.groupBy(key, "c").agg(F.count(F.lit(1)).alias("k"))
+    return per_component.groupBy(key).agg(
+        F.max(F.struct("k", "c")).alias("most"), F.count(F.lit(1)).alias("parts")
+    ).where("parts > 1").select(key, F.col("most.c").alias("largest"))
+
+
+def one_partner_each(rows: DataFrame) -> DataFrame:
+    """For each open rare shingle, one member of its largest component for every other holder."""
+    met = cut_lineage(rows.join(cut_lineage(open_keys(rows, "s")), "s"))
+    chosen = cut_lineage(met.where("c = largest").groupBy("s").agg(
+        F.min(F.struct(F.xxhash64("id", "s").alias("h"), "id")).alias("one")))
+    return met.where("c <> largest").join(chosen, "s").select(
+        F.col("id").alias("a"), F.col("one.id").alias("b")).distinct()
+
+
+def across_components(rows: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) in different components that share a rare shingle and may be similar.
+
+    A shared shingle at two places of the common order bounds the overlap: before it, as many
+    as the earlier place allows, after it, as many as the shorter rest has.
+    """
+    met = cut_lineage(rows.join(cut_lineage(open_keys(rows, "s")), "s"))
+    small = met.where("c <> largest").select("s", *[
+        F.col(name).alias(f"{name}_a") for name in ("id", "n", "c", "m", "place")])
+    most = F.least("place", "place_a") + F.least(F.col("m") - F.col("place"), F.col("m_a") - F.col("place_a"))
+    across = met.join(small, "s").where(
+        (F.col("c") != F.col("c_a"))
+        & ((F.col("c") == F.col("largest")) | (F.col("id") < F.col("id_a")))
+        & (100 * most >= percent * (F.col("n") + F.col("n_a") - most)))
+    return across.select(F.col("id_a").alias("a"), F.col("id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS,
@@ -172,28 +226,21 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS,
     pairs = cut_lineage(first.groupBy("id").agg(
         F.max(F.struct("k", (-F.col("centre")).alias("minus"))).alias("best"))
         .select(F.col("id").alias("a"), (-F.col("best.minus")).alias("b")))
-    links = cut_lineage(confirmed(docs, pairs, shingle_words, percent))
+    sets = cut_lineage(shingle_sets(docs, members.select("id").distinct(), shingle_words))
+    links = cut_lineage(confirmed(sets, pairs, percent))
     labels = components(links)
 
-    placed = members.join(labels.withColumnRenamed("v", "id"), "id", "left").select(
-        "band", "id", "n", F.coalesce("c", "id").alias("c"))
-    per_component = placed.groupBy("band", "c").agg(F.count(F.lit(1)).alias("k"))
-    mixed = cut_lineage(per_component.groupBy("band").agg(
-        F.max(F.struct("k", "c")).alias("most"), F.count(F.lit(1)).alias("parts"))
-        .where("parts > 1").select("band", F.col("most.c").alias("largest")))
-    open_rows = cut_lineage(placed.join(mixed, "band"))
-    small = open_rows.where("c <> largest").select(
-        "band", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"))
-    across = open_rows.join(small, "band").where(
-        (F.col("c") != F.col("c_a")) & ((F.col("c") == F.col("largest")) | (F.col("id") < F.col("a")))
-        & (100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a")))
-    rest = cut_lineage(across.select("a", F.col("id").alias("b")).distinct().join(
-        pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))),
-        ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        more = cut_lineage(confirmed(docs, rest, shingle_words, percent))
+    placed = in_components(members, labels)
+    pool = placed.join(cut_lineage(open_keys(placed, "band")), "band").select("id").distinct()
+    hopeful = rare_shared(sets, cut_lineage(pool), percent).select("id").distinct()
+    rare = cut_lineage(rare_shared(sets, cut_lineage(hopeful), percent))
+    for partners in (one_partner_each, across_components):
+        found = partners(cut_lineage(in_components(rare, labels)), *(
+            [percent] if partners is across_components else []))
+        more = cut_lineage(confirmed(sets, cut_lineage(found), percent))
         if not more.isEmpty():
-            labels = components(links.union(more))
+            links = links.unionAll(more)
+            labels = components(links)
 
     of_class = cut_lineage(classes.select("digest", "id").join(
         labels.withColumnRenamed("v", "id"), "id", "left")
