@@ -195,17 +195,21 @@ def one_partner_each(rows: DataFrame) -> DataFrame:
 def across_components(rows: DataFrame, percent: int) -> DataFrame:
     """All pairs (a, b) in different components that share a rare shingle and may be similar.
 
-    A shared shingle at two places of the common order bounds the overlap: before it, as many
-    as the earlier place allows, after it, as many as the shorter rest has.
+    `need` is the overlap that the two sizes ask for. A pair that reaches it shares one of the
+    first m - need + 1 shingles of either, and a shared shingle at two places of the common
+    order bounds the overlap: up to it as many as the earlier place allows, after it as many as
+    the shorter rest has.
     """
     met = cut_lineage(rows.join(cut_lineage(open_keys(rows, "s")), "s"))
     small = met.where("c <> largest").select("s", *[
         F.col(name).alias(f"{name}_a") for name in ("id", "n", "c", "m", "place")])
+    need = F.ceil(percent * (F.col("n") + F.col("n_a")) / (100 + percent))
     most = F.least("place", "place_a") + F.least(F.col("m") - F.col("place"), F.col("m_a") - F.col("place_a"))
     across = met.join(small, "s").where(
         (F.col("c") != F.col("c_a"))
         & ((F.col("c") == F.col("largest")) | (F.col("id") < F.col("id_a")))
-        & (100 * most >= percent * (F.col("n") + F.col("n_a") - most)))
+        & (F.col("place") <= F.col("m") - need + 1) & (F.col("place_a") <= F.col("m_a") - need + 1)
+        & (most >= need))
     return across.select(F.col("id_a").alias("a"), F.col("id").alias("b")).distinct()
 
 
