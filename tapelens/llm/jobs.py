@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapelens.llm import checks, decontaminate, minmax_dedup, packing, perspectives, pii, quality_rules, secret_links, spans
+from tapelens.llm import checks, decontaminate, language_codes, minmax_dedup, packing, perspectives, pii, quality_rules, secret_links, spans
 from tapelens.llm.base import table
 
 def tokenizer_path() -> str:
@@ -86,3 +86,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_perspectives", checks.PERSPECTIVES)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives.rotate(table(spark, sf_dir, "conversations"))
+
+
+@query("op9_language_codes")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_codes.identify(table(spark, sf_dir, "documents"))
