@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapelens.llm import checks, decontaminate, language_codes, minmax_dedup, packing, perspectives, pii, quality_rules, secret_links, spans
+from tapelens.llm import checks, decontaminate, html_model, language_codes, minmax_dedup, packing, perspectives, pii, quality_rules, secret_links, spans
 from tapelens.llm.base import table
 
 def tokenizer_path() -> str:
@@ -91,3 +91,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_language_codes")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_codes.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op8_html_model")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_model.extract(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
