@@ -7,15 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapelens.llm import checks, decontaminate, html_model, language_codes, minmax_dedup, packing, perspectives, pii, quality_rules, secret_links, spans
+from tapelens.llm import checks, decontaminate, html_model, language_codes, minmax_dedup, packing, perspectives, pii, quality_rules, secret_links, spans, suffix_dedup
 from tapelens.llm.base import table
 
-def tokenizer_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
@@ -53,7 +47,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path()))
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), packing.default_tokenizer()))
 
 
 @query("op3_decontamination", checks.DECONTAMINATION)
@@ -97,3 +91,15 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_model.extract(table(spark, sf_dir, "pages"))
     return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op5_suffix_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
