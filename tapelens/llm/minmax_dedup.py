@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapelens.llm.base import whole_text
-from tapelens.llm.graphs import components
+from tapelens.llm.graphs import components, cut_small
 from tapelens.session import cut_lineage
 
 SHINGLE_WORDS = 5
@@ -160,7 +160,7 @@ def rare_shared(sets: DataFrame, pool: DataFrame, percent: int) -> DataFrame:
     """
     each = sets.join(pool, "id").select(
         "id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    held_by = cut_lineage(each.groupBy("s").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
+    held_by = each.groupBy("s").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     own = Window.partitionBy("id")
     ranked = each.join(held_by, "s").select(
         "*", F.row_number().over(own.orderBy("k", "s")).alias("place"),
@@ -185,9 +185,9 @@ def open_keys(rows: DataFrame, key: str) -> DataFrame:
 
 def one_partner_each(rows: DataFrame) -> DataFrame:
     """For each open rare shingle, one member of its largest component for every other holder."""
-    met = cut_lineage(rows.join(cut_lineage(open_keys(rows, "s")), "s"))
-    chosen = cut_lineage(met.where("c = largest").groupBy("s").agg(
-        F.min(F.struct(F.xxhash64("id", "s").alias("h"), "id")).alias("one")))
+    met = rows.join(open_keys(rows, "s"), "s")
+    chosen = met.where("c = largest").groupBy("s").agg(
+        F.min(F.struct(F.xxhash64("id", "s").alias("h"), "id")).alias("one"))
     return met.where("c <> largest").join(chosen, "s").select(
         F.col("id").alias("a"), F.col("one.id").alias("b")).distinct()
 
@@ -200,7 +200,7 @@ def across_components(rows: DataFrame, percent: int) -> DataFrame:
     order bounds the overlap: up to it as many as the earlier place allows, after it as many as
     the shorter rest has.
     """
-    met = cut_lineage(rows.join(cut_lineage(open_keys(rows, "s")), "s"))
+    met = rows.join(open_keys(rows, "s"), "s")
     small = met.where("c <> largest").select("s", *[
         F.col(name).alias(f"{name}_a") for name in ("id", "n", "c", "m", "place")])
     need = F.ceil(percent * (F.col("n") + F.col("n_a")) / (100 + percent))
@@ -225,25 +225,25 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS,
     shared = cut_lineage(spread.groupBy("band").agg(
         F.min("id").alias("centre"), F.max("id").alias("last")).where("centre <> last")
         .select("band", "centre"))
-    members = cut_lineage(spread.join(shared, "band"))
+    members = cut_lineage(spread.join(shared, "band").select("id", "band", "centre"))
+    size = members.count()
     first = members.where("id <> centre").groupBy("id", "centre").agg(F.count(F.lit(1)).alias("k"))
-    pairs = cut_lineage(first.groupBy("id").agg(
+    pairs = cut_small(first.groupBy("id").agg(
         F.max(F.struct("k", (-F.col("centre")).alias("minus"))).alias("best"))
-        .select(F.col("id").alias("a"), (-F.col("best.minus")).alias("b")))
+        .select(F.col("id").alias("a"), (-F.col("best.minus")).alias("b")), size)
     sets = cut_lineage(shingle_sets(docs, members.select("id").distinct(), shingle_words))
-    links = cut_lineage(confirmed(sets, pairs, percent))
+    links = cut_small(confirmed(sets, pairs, percent), size)
     labels = components(links)
 
     placed = in_components(members, labels)
-    pool = placed.join(cut_lineage(open_keys(placed, "band")), "band").select("id").distinct()
-    hopeful = rare_shared(sets, cut_lineage(pool), percent).select("id").distinct()
-    rare = cut_lineage(rare_shared(sets, cut_lineage(hopeful), percent))
+    pool = cut_small(placed.join(open_keys(placed, "band"), "band").select("id").distinct(), size)
+    rare = cut_lineage(rare_shared(sets, pool, percent))
     for partners in (one_partner_each, across_components):
         found = partners(cut_lineage(in_components(rare, labels)), *(
             [percent] if partners is across_components else []))
-        more = cut_lineage(confirmed(sets, cut_lineage(found), percent))
+        more = cut_small(confirmed(sets, found, percent), size)
         if not more.isEmpty():
-            links = links.unionAll(more)
+            links = cut_small(links.unionAll(more), size)
             labels = components(links)
 
     of_class = cut_lineage(classes.select("digest", "id").join(
