@@ -36,6 +36,8 @@ WORD_BUCKETS = 4096
 SMOOTHING = 0.5
 #: How often each written layout counts beside the sampled pages.
 LAYOUT_WEIGHT = 10
+#: Features of one block say much the same; their sum counts only so much.
+FEATURE_WEIGHT = 0.6
 _MILLION = 1_000_000
 
 # fixed sets of HTML element names
@@ -49,6 +51,15 @@ footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul"
 CLOSES_ITSELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
                  "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LIST_LIKE = frozenset("ul ol dl table menu".split())
+CONTAINERS = frozenset("root html body div section article main table tbody tr td form aside header footer nav center".split())
+
+
+#: Words of attributes and tags that never belong to an article, even inside it.
+ASIDE_TAGS = frozenset("nav header footer aside form menu dialog".split()) | SILENT
+ASIDE_WORDS = frozenset("""ad ads advert advertisement banner sponsored promo comment comments respond disqus
+cookie consent notice newsletter subscribe share sharing social related sidebar breadcrumb breadcrumbs
+pagination pager footer nav navigation menu popup modal""".split())
+ARTICLE_WORDS = frozenset("articlebody main".split())
 
 
 class Page(HTMLParser):
@@ -138,20 +149,13 @@ def node_features(page: Page) -> list[list[str]]:
         share = linked[i] / size[i] if size[i] else 0.0
         own = [f"tag {tag}", f"under {page.tags[page.parents[i]] if i else '-'} {tag}",
                f"long {min(12, size[i].bit_length())}", f"links {math.ceil(4 * share)}",
-               f"marks {min(4, 200 * marks[i] // (size[i] + 1) // 2)}"]
+               f"marks {min(4, 200 * marks[i] // (size[i] + 1) // 2)}",
+               f"aside {not ASIDE_WORDS.isdisjoint(page.words[i])}"]
         own += [f"word {zlib.crc32(w.encode()) % WORD_BUCKETS}" for w in set(page.words[i])]
         found.append(own)
     return found
 
 
-#: Words of attributes and tags that never belong to an article, even inside it.
-ASIDE_TAGS = frozenset("nav header footer aside form menu dialog".split()) | SILENT
-ASIDE_WORDS = frozenset("""ad ads advert advertisement banner sponsored promo comment comments respond disqus
-cookie consent notice newsletter subscribe share sharing social related sidebar breadcrumb breadcrumbs
-pagination pager footer nav navigation menu popup modal""".split())
-ARTICLE_WORDS = frozenset("articlebody main".split())
-
-
 def own_labels(page: Page) -> list[bool] | None:
     """Labels from a page's own markup, None where it marks no article."""
     label, marked = [False] * len(page.tags), False
@@ -204,41 +208,48 @@ def _count(pages: Iterator[tuple[Page, list[bool]]]) -> Counter:
             for name in own:
                 counts[("feature", y, name)] += 1
             if i:
-                counts[("pair", int(label[page.parents[i]]), str(y))] += 1
+                counts[("pair", int(label[page.parents[i]]), f"{page.tags[i] in CONTAINERS} {y}")] += 1
     return counts
 
 
 class Model:
-    """Log potentials: `unary` of a feature for content against not, `pair`[parent][child]."""
+    """`unary`: log potential of a feature, content against not. `pair`[container][parent][child]:
+    how labels follow each other, for children that hold blocks and for those that hold text."""
 
     def __init__(self, counts: Counter):
         total = [counts[("node", y, "")] + 2 * SMOOTHING for y in (0, 1)]
         names = {what for kind, _, what in counts if kind == "feature"}
         self.unary = {name: math.log((counts[("feature", 1, name)] + SMOOTHING) / total[1])
                       - math.log((counts[("feature", 0, name)] + SMOOTHING) / total[0]) for name in names}
-        self.pair = []
-        for parent in (0, 1):
-            seen = [counts[("pair", parent, str(y))] + SMOOTHING for y in (0, 1)]
-            self.pair.append([n / sum(seen) for n in seen])
+        self.pair = {}
+        for container in (False, True):
+            seen = [[counts[("pair", parent, f"{container} {y}")] + SMOOTHING for y in (0, 1)] for parent in (0, 1)]
+            self.pair[container] = [[n / sum(row) for n in row] for row in seen]
+
+    def own(self, page: Page) -> list[float]:
+        """Log potential of each block from what it shows of itself."""
+        return [FEATURE_WEIGHT * sum(self.unary.get(name, 0.0) for name in names) for names in node_features(page)]
+
+    def link(self, page: Page, i: int) -> list[list[float]]:
+        return self.pair[page.tags[i] in CONTAINERS]
 
     def marginals(self, page: Page) -> list[float]:
         """P(content) of every block: messages to the root, then back to the leaves.
 
         Messages are ratios content : not, so nothing under- or overflows on large pages.
         """
-        n, pair = len(page.tags), self.pair
-        own = [sum(self.unary.get(name, 0.0) for name in names) for names in node_features(page)]
-        below = [math.exp(max(-30.0, min(30.0, x))) for x in own]
+        n = len(page.tags)
+        below = [math.exp(max(-30.0, min(30.0, x))) for x in self.own(page)]
         below[0] = 0.0  # the page as a whole is not content
         up = [1.0] * n
         for i in range(n - 1, 0, -1):
-            r = below[i]
+            r, pair = below[i], self.link(page, i)
             up[i] = (pair[1][0] + pair[1][1] * r) / (pair[0][0] + pair[0][1] * r)
             j = page.parents[i]
             below[j] = min(max(below[j] * up[i], 1e-200 if j else 0.0), 1e200)
         full = below[:]
         for i in range(1, n):
-            rest = full[page.parents[i]] / up[i]
+            rest, pair = full[page.parents[i]] / up[i], self.link(page, i)
             down = (pair[0][1] + pair[1][1] * rest) / (pair[0][0] + pair[1][0] * rest)
             full[i] = min(max(below[i] * down, 1e-200), 1e200)
         return [r / (1 + r) for r in full]
