@@ -124,14 +124,15 @@ PROBE_COST = {p: sum(call_cost(e) for e in eps) for p, eps in PROBE_ENDPOINTS.it
 BASELINE_COST = sum(PROBE_COST.values())
 
 # --- fixed values: text rules ----------------------------------------------------------------
-# The disclaimer, whatever one-word service name it opens with.
-DISCLAIMER_PATTERN = r"\w+ adalah alat informasi dan analisis, bukan saran investasi\."
+# The disclaimer after the name of the service that opens it (a parameter where it is used).
+SERVICE = "Layanan"
+DISCLAIMER_TEXT = " adalah alat informasi dan analisis, bukan saran investasi."
 UNIT_PATTERN = "%|persen|σ|sigma|×|x|M|T|Jt|jt|juta|miliar|triliun|rb|ribu"
 UNIT_NAMES = {
     "%": "%", "persen": "%", "σ": "σ", "sigma": "σ", "×": "×", "x": "×", "rb": "rb",
     "ribu": "rb", "jt": "jt", "juta": "jt", "m": "m", "miliar": "m", "t": "t", "triliun": "t",
 }
-ALLOWED_CAPITAL_WORDS = ["RUPS", "IUPK", "LQ45", "PANT"]
+ALLOWED_CAPITAL_WORDS = ["RUPS", "IUPK", "LQ45"]
 FORBIDDEN_PHRASES = [
     (r"target\s+harga", "price target"),
     (r"harga\s+target", "price target"),

@@ -183,16 +183,22 @@ def controls_with_reuse(tables, positives: DataFrame,
         F.col("match").alias("symbol"), "event_date", "positive", "match_rank")
 
 
-def controls_unique(tables, positives: DataFrame, per_positive: int = 2) -> DataFrame:
+def controls_unique(tables, positives: DataFrame, per_positive: int = 2, as_of=None) -> DataFrame:
     """Nearest market cap in the same sub-sector, each control used once.
 
+    A security without a sub-sector is in no group: it gets no control and is none. With
+    `as_of`, only profiles known by then take part.
+
     Choosing without replacement depends on the order of the positives (`rank`), so a
     sub-sector is one sequential pass. It holds one row per listed security of that
     sub-sector, and the sub-sectors run in parallel.
     """
     cap = F.col("market_cap").cast("double").alias("cap")
-    profile = tables["company_profile"].where("market_cap is not null").select(
-        "symbol", F.coalesce("sub_sector", F.lit("\u0000")).alias("sector"), cap)
+    listed = tables["company_profile"]
+    if as_of is not None:
+        listed = pit.pit_filter(listed, "company_profile", as_of)
+    profile = listed.where("market_cap is not null and sub_sector is not null").select(
+        "symbol", F.col("sub_sector").alias("sector"), cap)
     rows = profile.join(positives.select("symbol", "rank"), "symbol", "left")
 
     def pick(group: pd.DataFrame) -> pd.DataFrame:

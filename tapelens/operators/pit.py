@@ -91,11 +91,22 @@ def with_end_session(grid: DataFrame, calendar: DataFrame, strictly_before: bool
 
 
 def with_session(df: DataFrame, calendar: DataFrame, on: str = "trade_date") -> DataFrame:
-    """Add `session_idx` to dated rows."""
+    """Add `session_idx` to dated rows; rows on other days than sessions are left out."""
     days = calendar.select(F.col("trade_date").alias("_d"), "session_idx")
     return df.join(days, df[on] == days["_d"]).drop("_d")
 
 
+def between_sessions(df: DataFrame, calendar: DataFrame, on: str = "trade_date") -> DataFrame:
+    """The rows on days that are no session, with the `session_idx` of the last session before.
+
+    A window of sessions holds such a row when it holds that session, unless the row is later
+    than the as-of date; whoever joins by session must compare the dates too.
+    """
+    other = df.join(calendar.select(F.col("trade_date").alias(on)), on, "left_anti")
+    return with_end_session(other, calendar, on=on).withColumnRenamed("end_idx", "session_idx").where(
+        F.col("session_idx").isNotNull())
+
+
 # -- prices -----------------------------------------------------------------------------------
 def price_history(tables) -> DataFrame:
     """One close per (symbol, date): daily_transaction first, daily_close fills the holes."""

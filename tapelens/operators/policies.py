@@ -7,9 +7,9 @@ in-row work and no policy adds a shuffle.
 
 from __future__ import annotations
 
-from itertools import combinations
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -63,23 +63,50 @@ def random_order(symbol: Column, budget: Column, seed: int = 0) -> Column:
     return greedy_fill(shuffled(symbol, seed), budget)
 
 
+def bought_sets() -> DataFrame:
+    """Every non-empty set of probes as a bit mask: price, weight and place among its equals.
+
+    Sets of equal weight are ranked by the number of probes, then by the order in which the
+    probes are listed.
+    """
+    spark = SparkSession.getActiveSession()
+    n = len(K.PROBES)
+    mask = F.col("mask")
+    has = [(mask.bitwiseAND(F.lit(1 << i)) != 0).cast("int") for i in range(n)]
+    weights = [K.WEIGHTS[K.PROBE_COMPONENT[p]] for p in K.PROBES]
+    return spark.range(1, 1 << n, 1, 1).withColumnRenamed("id", "mask").select(
+        "mask", reduce(lambda a, b: a + b, [F.lit(K.PROBE_COST[p]) * h for p, h in zip(K.PROBES, has)]).alias("price"),
+        F.round(reduce(lambda a, b: a + b, [F.lit(w) * h for w, h in zip(weights, has)]), 9).alias("weight"),
+        reduce(lambda a, b: a + b, has).alias("size"),
+        F.concat(*[h.cast("string") for h in has]).alias("listed"),
+        F.array_compact(F.array(*[F.when(h == 1, F.lit(p)) for p, h in zip(K.PROBES, has)])).alias("chosen"))
+
+
+def best_sets() -> DataFrame:
+    """(budget, chosen): the heaviest set that each whole budget pays for, empty if none."""
+    sets = bought_sets()
+    budgets = sets.sparkSession.range(0, K.BASELINE_COST + 1, 1, 1).withColumnRenamed("id", "budget")
+    paid = sets.select("*", F.explode(F.sequence(
+        F.col("price").cast("long"), F.lit(K.BASELINE_COST).cast("long"))).alias("budget"))
+    order = W.partitionBy("budget").orderBy(F.desc("weight"), "size", F.desc("listed"))
+    first = paid.withColumn("place", F.row_number().over(order)).where("place = 1")
+    return budgets.join(first.select("budget", "chosen"), "budget", "left").select(
+        "budget", F.coalesce("chosen", F.array().cast("array<string>")).alias("chosen"))
+
+
 def best_subset(budget: int) -> list[str]:
-    """The subset with the most weight within the budget; the first of equals wins."""
-    best, chosen = -1.0, ()
-    for size in range(1, len(K.PROBES) + 1):
-        for subset in combinations(K.PROBES, size):
-            if sum(K.PROBE_COST[p] for p in subset) <= budget:
-                weight = sum(K.WEIGHTS[K.PROBE_COMPONENT[p]] for p in subset)
-                if weight > best:
-                    best, chosen = weight, subset
-    return list(chosen)
+    return list(_answers()[max(0, min(budget, K.BASELINE_COST))])
+
+
+def _answers() -> list[list[str]]:
+    """One answer per whole budget; the table has as many rows as everything costs."""
+    return [row.chosen for row in best_sets().orderBy("budget").collect()]
 
 
 def oracle_subset(budget: Column) -> Column:
     """Best subset per row: one answer per whole budget up to the price of everything."""
-    answers = F.array(*[
-        F.array(*[F.lit(p) for p in best_subset(b)]).cast("array<string>")
-        for b in range(K.BASELINE_COST + 1)])
+    answers = F.array(*[F.array(*[F.lit(p) for p in chosen]).cast("array<string>")
+                        for chosen in _answers()])
     return F.get(answers, F.least(F.greatest(budget, F.lit(0)), F.lit(K.BASELINE_COST))
                  .cast("int"))
 

@@ -58,8 +58,7 @@ def session_panel(tables, grid: DataFrame, calendar: DataFrame,
                   sources: tuple[str, ...] = ("tx", "price", "flow")) -> DataFrame:
     """Rows per (symbol, session) with what the tables say, plus the grid rows as markers.
 
-    Only the rows some window can reach are kept: the bounds come from the grid and reach the
-    scans as a filter on the date.
+    Every row of the tables that lies on a session is in the panel, whatever the grid.
     """
     ended = pit.with_end_session(grid, calendar)
     parts = []
@@ -204,6 +203,30 @@ def _flow_columns() -> dict[str, Column]:
     }
 
 
+def with_flow_between_sessions(tables, grid: DataFrame, calendar: DataFrame,
+                               panel: DataFrame) -> DataFrame:
+    """Add the flow of days that are no session to the window sums of the panel.
+
+    Such rows are rare; they are joined to their windows by themselves.
+    """
+    rows = tables["foreign_flow"].where("net_value is not null").select(
+        "symbol", "trade_date", "net_value")
+    ended = pit.with_end_session(grid.select("symbol", "as_of"), calendar).withColumn(
+        "start_idx", F.col("end_idx") - (K.FRD_SESSIONS - 1))
+    inside = pit.window_join(
+        ended, pit.between_sessions(rows, calendar), by=["symbol"], low="start_idx",
+        high="end_idx", position="session_idx", width=K.FRD_SESSIONS).where(
+        F.col("trade_date") <= F.col("as_of"))
+    more = inside.groupBy("symbol", "as_of").agg(
+        F.count("net_value").alias("_more_rows"), F.sum("net_value").alias("_more"))
+    found = F.col("_more").isNotNull()
+    return panel.join(more, ["symbol", "as_of"], "left").withColumn(
+        "flow_rows", F.when(found, F.col("flow_rows") + F.col("_more_rows"))
+        .otherwise(F.col("flow_rows"))).withColumn(
+        "foreign_net", F.when(found, F.coalesce("foreign_net", F.lit(0.0)) + F.col("_more"))
+        .otherwise(F.col("foreign_net"))).drop("_more", "_more_rows")
+
+
 def _flow_score(panel: DataFrame) -> DataFrame:
     out = (
         panel.withColumn("price_change", F.when(
@@ -230,21 +253,23 @@ def _flow_score(panel: DataFrame) -> DataFrame:
 
 def foreign_flow(tables, grid: DataFrame) -> DataFrame:
     calendar = pit.trading_calendar(tables)
-    panel = session_panel(tables, grid, calendar, ("tx", "flow")).withColumns(_flow_columns())
-    return _flow_score(_on_grid(panel))
+    panel = _on_grid(session_panel(
+        tables, grid, calendar, ("tx", "flow")).withColumns(_flow_columns()))
+    panel = panel.select("symbol", "as_of", *_flow_columns())
+    return _flow_score(with_flow_between_sessions(tables, grid, calendar, panel))
 
 
 # -- BCI ----------------------------------------------------------------------------------------
 def broker_net(tables, grid: DataFrame) -> DataFrame:
-    """Net buying per (symbol, as_of, broker) over the last 20 sessions."""
+    """Net buying per (symbol, as_of, broker) from the first of the last 20 sessions to `as_of`."""
     calendar = pit.trading_calendar(tables)
     ended = pit.with_end_session(grid, calendar).withColumn(
         "start_idx", F.col("end_idx") - (K.BCI_SESSIONS - 1))
-    facts = pit.with_session(
-        tables["broker_summary"].select("symbol", "trade_date", "broker_code", "net_value"),
-        calendar)
-    inside = pit.window_join(ended, facts, by=["symbol"], low="start_idx", high="end_idx",
-                             position="session_idx", width=K.BCI_SESSIONS)
+    rows = tables["broker_summary"].select("symbol", "trade_date", "broker_code", "net_value")
+    facts = pit.with_session(rows, calendar).unionByName(pit.between_sessions(rows, calendar))
+    inside = pit.window_join(
+        ended, facts, by=["symbol"], low="start_idx", high="end_idx", position="session_idx",
+        width=K.BCI_SESSIONS).where(F.col("trade_date") <= F.col("as_of"))
     return inside.groupBy("symbol", "as_of", "broker_code").agg(
         F.sum("net_value").alias("net_value"), F.max("trade_date").alias("last_day"))
 
@@ -429,12 +454,14 @@ def run_all(tables, grid: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame
     columns = {**_volume_columns(), **_price_columns(), **_flow_columns()}
     panel = _on_grid(session_panel(tables, grid, calendar).withColumns(columns))
     panel = panel.select("symbol", "as_of", *columns)
+    flow = with_flow_between_sessions(
+        tables, grid, calendar, panel.select("symbol", "as_of", *_flow_columns()))
     parts = {
         "BCI": broker_concentration(tables, grid),
         "VAS": _volume_score(panel),
         "PFD": _divergence_score(tables, panel.drop("volume_window")),
         "FFS": free_float(tables, grid),
-        "FRD": _flow_score(panel),
+        "FRD": _flow_score(flow),
         "SSS": structural(tables, grid),
     }
     out = grid.select("symbol", "as_of")

@@ -111,10 +111,10 @@ def _hits(text: Column, pattern: str) -> Column:
 
 
 def wording_findings(text: Column, phrases: list[tuple[str, str]] | None = None,
-                     sensitive: list[str] | None = None) -> Column:
+                     sensitive: list[str] | None = None, service: str = K.SERVICE) -> Column:
     """array<struct<quote, reason>>: forbidden phrases, then sensitive words outside a fixed
-    collocation. The exact disclaimer is removed first."""
-    cleaned = F.regexp_replace(_text(text), K.DISCLAIMER_PATTERN, " ")
+    collocation. The exact disclaimer of `service` is removed first."""
+    cleaned = F.replace(_text(text), F.lit(service + K.DISCLAIMER_TEXT), F.lit(" "))
     return S.let(cleaned, lambda clean: _findings(
         clean, K.FORBIDDEN_PHRASES if phrases is None else phrases,
         K.SENSITIVE_WORDS if sensitive is None else sensitive))
@@ -150,19 +150,23 @@ def vocabulary_scan(texts: DataFrame, text: str = "text", **rules) -> DataFrame:
 
 
 # -- JSON leaves ------------------------------------------------------------------------------------
-@F.udtf(returnType="path string, text string")
+@F.udtf(returnType="path string, text string, problem string")
 class JsonStringLeaves:
-    """Every string in a JSON document with its path, such as $.a[0].b."""
+    """Every string in a JSON document with its path, such as $.a[0].b.
+
+    A document that cannot be read gives one row with the reason.
+    """
 
     def eval(self, document: str):
         try:
             open_nodes = [("$", json.loads(document))]
-        except (TypeError, ValueError):
+        except (TypeError, ValueError) as error:
+            yield None, None, f"unreadable document: {error}"
             return
         while open_nodes:
             path, node = open_nodes.pop()
             if isinstance(node, str):
-                yield path, node
+                yield path, node, None
             elif isinstance(node, dict):
                 open_nodes += reversed([(f"{path}.{k}", v) for k, v in node.items()])
             elif isinstance(node, list):
@@ -172,7 +176,7 @@ class JsonStringLeaves:
 def json_string_leaves(documents: DataFrame, column: str = "document") -> DataFrame:
     keep = [c for c in documents.columns if c != column]
     leaves = JsonStringLeaves(F.col(column).outer())
-    return documents.lateralJoin(leaves).select(*keep, "path", "text")
+    return documents.lateralJoin(leaves).select(*keep, "path", "text", "problem")
 
 
 # -- cleaning -------------------------------------------------------------------------------------------

@@ -66,8 +66,9 @@ def probes(prefix: str, grid: str) -> dict[str, str]:
             select g.symbol, g.as_of, b.broker_code, sum(b.net_value) as net_value,
                    max(b.trade_date) as day
             from {grid} g join (select b.*, c.session_idx from broker_summary b
-                                join calendar c on c.trade_date = b.trade_date) b
-              on b.symbol = g.symbol and b.session_idx between g.end_idx - 19 and g.end_idx
+                                asof join calendar c on b.trade_date >= c.trade_date) b
+              on b.symbol = g.symbol and b.session_idx >= g.end_idx - 19
+             and b.trade_date <= g.as_of
             group by 1, 2, 3""",
         f"{p}_bci": f"""
             select g.symbol, g.as_of, r.top3_share, r.hhi, r.top3_codes, r.buyers, r.day,
@@ -140,9 +141,9 @@ def probes(prefix: str, grid: str) -> dict[str, str]:
               from {grid} g
               left join (select g.symbol, g.as_of, count(*) as flow_rows, sum(net_value) as net
                          from {grid} g join (select f.*, c.session_idx from foreign_flow f
-                              join calendar c on c.trade_date = f.trade_date) f
-                           on f.symbol = g.symbol
-                          and f.session_idx between g.end_idx - 29 and g.end_idx
+                              asof join calendar c on f.trade_date >= c.trade_date) f
+                           on f.symbol = g.symbol and f.session_idx >= g.end_idx - 29
+                          and f.trade_date <= g.as_of
                          group by 1, 2) fl on fl.symbol = g.symbol and fl.as_of = g.as_of
               left join (select g.symbol, g.as_of, count(*) as market_rows,
                                 sum(d.close_price * coalesce(d.volume, 0)) as turnover,

@@ -97,7 +97,7 @@ def stamp(t):
            max(trade_date) as last from foreign_flow
     union all select 'suspensions', count(*), min(start_date), max(start_date) from suspensions
     union all select unnest(['daily_close', 'daily_transaction', 'broker_summary', 'free_float',
-      'filings', 'corporate_actions', 'quarterly_financials', 'company_profile']), 0, null, null""")
+      'filings', 'corporate_actions', 'quarterly_financials', 'company_profile', 'investigations']), 0, null, null""")
 def summary(t):
     return stored(t, "foreign_flow", "suspensions").summary()
 

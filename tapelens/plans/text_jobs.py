@@ -89,7 +89,7 @@ C.CTES["tickers"] = r"""
       from (select doc_id, symbol, narrative as text from statements
             union all select doc_id, '', text from documents) s) x
     where regexp_full_match(w, '[A-Z]{4}') and w <> symbol
-      and w not in ('RUPS', 'IUPK', 'LQ45', 'PANT')"""
+      and w not in ('RUPS', 'IUPK', 'LQ45')"""
 
 
 @query("t4_unsupported_tickers", "select doc_id, ticker from tickers")
@@ -105,7 +105,7 @@ def quoted(text: str) -> str:
     return text.replace("'", "''")
 
 
-_CLEAN = f"regexp_replace(text, '{K.DISCLAIMER_PATTERN}', ' ', 'g')"
+_CLEAN = f"replace(text, '{K.SERVICE}{K.DISCLAIMER_TEXT}', ' ')"
 C.CTES["wording"] = " union all ".join(
     f"select doc_id, '{quoted(why)}' as reason, len(regexp_extract_all({_CLEAN}, '(?i){p}')) as hits "
     f"from corpus" for p, why in K.FORBIDDEN_PHRASES) + rf"""
@@ -141,7 +141,8 @@ def leaves(t):
                     F.col("display_2"), F.lit('"}]}'))
     joined = F.concat(F.expr("substring(d, 1, length(d) - 1)"), F.lit(","), pair)
     docs = t["statements"].select("doc_id", document.alias("d"), "display_1", "display_2")
-    return textqa.json_string_leaves(docs.select("doc_id", joined.alias("document")))
+    found = textqa.json_string_leaves(docs.select("doc_id", joined.alias("document")))
+    return found.where("problem is null").drop("problem")
 
 
 @query("t7_secret_redaction", r"""

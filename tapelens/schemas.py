@@ -52,14 +52,13 @@ _SPECS = [
               "symbol string, company_name string, sub_sector string, "
               "market_cap decimal(38,0), listing_date date", "listing_date", ("symbol",),
               null_cut_passes=True),
+    TableSpec("investigations",
+              "symbol string, as_of date, score int, band string, confidence double, "
+              "credits_total int, transcript_path string", "as_of", ("symbol", "as_of")),
 ]
 TABLES = {s.name: s for s in _SPECS}
 CALENDAR_TABLES = ("daily_transaction", "daily_close")
 
-INVESTIGATIONS = (
-    "symbol string, as_of date, score int, band string, confidence double, "
-    "credits_total int, transcript_path string")
-
 LEDGER = (
     "ts string, phase string, endpoint string, transport string, credits int, "
     "params_hash string, run_id string, symbol string")

@@ -41,13 +41,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tapelens-ckpt-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder below the shared one, or a temporary one where none is configured."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share. Only a local master may go without the setting."""
     context = spark.sparkContext
-    base = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
-    return f"{base or tempfile.mkdtemp(prefix='tapelens-')}/work-{uuid.uuid4().hex}"
+    named = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="tapelens-")
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A fresh folder below the shared one."""
+    return f"{shared_folder(spark)}/work-{uuid.uuid4().hex}"

@@ -8,9 +8,22 @@ from pyspark.sql import functions as F
 from tapelens import schemas
 
 
+def _ledger_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Ledger lines with the text of those that cannot be read in `_corrupt`."""
+    return spark.read.schema(f"{schemas.LEDGER}, _corrupt string").option(
+        "mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+
+
+def broken_ledger_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line) of every ledger line that `read_ledger` skips."""
+    lines = _ledger_lines(spark, path).select("*", F.col("_metadata.file_path").alias("path"))
+    return lines.where("_corrupt is not null").select("path", F.col("_corrupt").alias("line"))
+
+
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """Ledger lines; broken and blank lines are skipped, missing fields get their defaults."""
-    raw = spark.read.schema(schemas.LEDGER).option("mode", "DROPMALFORMED").json(path)
+    """Ledger lines; blank lines are skipped, broken ones too (`broken_ledger_lines` lists
+    them), missing fields get their defaults."""
+    raw = _ledger_lines(spark, path).where("_corrupt is null").drop("_corrupt")
     unknown = {"phase": "?", "endpoint": "?", "transport": "?", "ts": "", "params_hash": "",
                "credits": 0}
     return raw.fillna(unknown)

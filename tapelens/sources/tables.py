@@ -11,6 +11,10 @@ from tapelens.operators import pit
 from tapelens.schemas import TABLES, TableSpec
 
 PART = "part"
+UNDATED = "undated"
+SLICES = 16
+#: Months of a century and the slices are far below this.
+MAX_PARTS = 5_000
 
 
 def conform(df: DataFrame, spec: TableSpec) -> DataFrame:
@@ -21,22 +25,37 @@ def conform(df: DataFrame, spec: TableSpec) -> DataFrame:
         for c, kind in spec.types.items()])
 
 
+def one_per_key(rows: DataFrame, spec: TableSpec) -> DataFrame:
+    """Of rows that share a key, the one that sorts last by its other columns in table order."""
+    rest = [c for c in spec.columns if c not in spec.key]
+    if not rest:
+        return rows.distinct()
+    last = rows.groupBy(*spec.key).agg(F.max(F.struct(*rest)).alias("_last"))
+    return last.select(*[F.col(c) if c in spec.key else F.col(f"_last.{c}") for c in spec.columns])
+
+
 def merge(old: DataFrame, new: DataFrame, spec: TableSpec) -> DataFrame:
     """New rows replace old ones on the key (null equals null); keyless tables stay distinct."""
     if not spec.key:
         return old.unionByName(new).distinct()
+    new = one_per_key(new, spec)
     fresh = new.select(*[F.col(k).alias(f"_new_{k}") for k in spec.key]).distinct()
     same = reduce(lambda a, b: a & b,
                   [F.col(k).eqNullSafe(F.col(f"_new_{k}")) for k in spec.key])
     return old.join(fresh, same, "left_anti").unionByName(new)
 
 
+def sliced(spec: TableSpec) -> bool:
+    """Whether the table is stored by slices of its key instead of by month."""
+    return bool(spec.key) and spec.cut not in spec.key
+
+
 def partition_value(spec: TableSpec) -> Column:
     """Where a row is stored. Equal keys share a partition, so an upsert rewrites only the
     months (or, for the identity table, the hash slices) that the new rows touch."""
-    if spec.key and spec.cut not in spec.key:
-        return F.format_string("h%02d", F.pmod(F.hash(*spec.key), F.lit(16)))
-    return F.coalesce(F.date_format(spec.cut, "yyyy-MM"), F.lit("undated"))
+    if sliced(spec):
+        return F.format_string("h%02d", F.pmod(F.hash(*spec.key), F.lit(SLICES)))
+    return F.coalesce(F.date_format(spec.cut, "yyyy-MM"), F.lit(UNDATED))
 
 
 class Warehouse:
@@ -62,10 +81,17 @@ class Warehouse:
         return self.spark.read.schema(f"{spec.ddl}, {PART} string").parquet(self.location(table))
 
     def read(self, table: str, as_of=None, where: str | Column | None = None) -> DataFrame:
-        """The table with its declared columns; a missing one is empty, not an error."""
-        df = self._stored(table).select(*TABLES[table].columns)
+        """The table with its declared columns; a missing one is empty, not an error.
+
+        An as-of date also leaves out the later months' folders.
+        """
+        spec, df = TABLES[table], self._stored(table)
         if as_of is not None:
             df = pit.pit_filter(df, table, as_of)
+            if not sliced(spec):
+                day = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("date")
+                df = df.where((F.col(PART) <= F.date_format(day, "yyyy-MM")) | (F.col(PART) == UNDATED))
+        df = df.select(*spec.columns)
         return df if where is None else df.where(where)
 
     def __getitem__(self, table: str) -> DataFrame:
@@ -74,13 +100,16 @@ class Warehouse:
     def upsert(self, table: str, rows: DataFrame) -> int:
         """Merge rows in and return the size of the table afterwards.
 
-        Only the touched partitions are read (their names are pushed into the scan) and
-        swapped in by the committer; running the same batch again changes nothing.
+        Only the folders that the batch touches are read and swapped in by the committer;
+        running the same batch again changes nothing. Their names are months or hash slices,
+        so the list that the driver holds is short whatever the batch; it is checked.
         """
         spec = TABLES[table]
         new = conform(rows, spec).withColumn(PART, partition_value(spec))
-        touched = new.select(PART).distinct()
-        old = self._stored(table).join(touched, PART, "left_semi")
+        touched = [row[0] for row in new.select(PART).distinct().limit(MAX_PARTS + 1).collect()]
+        if len(touched) > MAX_PARTS:
+            raise ValueError(f"{table}: a batch may touch {MAX_PARTS} folders")
+        old = self._stored(table).where(F.col(PART).isin(*touched))
         merged = merge(old.select(*spec.columns), new.select(*spec.columns), spec)
         self.calendar = None
         write_sorted(merged.withColumn(PART, partition_value(spec)), spec, self.location(table))

@@ -72,8 +72,12 @@ def test_redaction_and_leaves(spark):
     assert one(spark, textqa.redact(F.lit("see s3cretkey1"), ["s3cretkey1"])) == "see " + K.MASK
     df = spark.createDataFrame([(1, '{"a":["x",{"b":"y"}],"n":3}'), (2, "broken")],
                                "id int, document string")
-    got = [(r["id"], r["path"], r["text"]) for r in textqa.json_string_leaves(df).collect()]
-    assert got == [(1, "$.a[0]", "x"), (1, "$.a[1].b", "y")]
+    leaves = textqa.json_string_leaves(df).collect()
+    assert [(r["id"], r["path"], r["text"]) for r in leaves if r["problem"] is None] == [
+        (1, "$.a[0]", "x"), (1, "$.a[1].b", "y")]
+    assert [r["id"] for r in leaves if r["problem"]] == [2]
+    other = "Lain adalah alat informasi dan analisis, bukan saran investasi."
+    assert one(spark, F.size(textqa.wording_findings(F.lit(other), service="Lain"))) == 0
 
 
 def test_greedy_and_best_subset(spark):

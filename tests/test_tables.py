@@ -90,3 +90,17 @@ def test_transcript_files_keep_the_unreadable(spark, tmp_path):
     rows = {r["path"][-6:]: r["problem"] for r in documents.read_transcripts(
         spark, f"{tmp_path}/*.json").collect()}
     assert rows["a.json"] is None and rows["b.json"]
+
+
+def test_scans_are_pruned_by_month(spark, tmp_path):
+    warehouse = Warehouse(spark, str(tmp_path))
+    ddl = TABLES["foreign_flow"].ddl
+    rows = [(date(2026, m, 5), "AAAA", float(m)) for m in range(1, 7)]
+    warehouse.upsert("foreign_flow", spark.createDataFrame(rows, ddl))
+    read = warehouse.read("foreign_flow", "2026-02-20")
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
+    assert "2026-02" in filters and read.count() == 2
+    batch = spark.createDataFrame([(date(2026, 3, 5), "AAAA", 7.0), (date(2026, 3, 5), "AAAA", 9.0)], ddl)
+    assert warehouse.upsert("foreign_flow", batch) == 6
+    assert warehouse["foreign_flow"].where("trade_date = '2026-03-05'").first().net_value == 9.0
