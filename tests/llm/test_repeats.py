@@ -1,7 +1,7 @@
 import hashlib
 import random
 
-from tapelens.llm import suffix_dedup
+from tapelens.llm import difference_cover, suffix_dedup
 
 
 def brute(texts):
@@ -52,3 +52,24 @@ def test_repeated_rows_null_ids_empty_table(spark):
     got = sorted((r.doc_id or 0, r.n_removed) for r in suffix_dedup.remove_repeats(docs).collect())
     assert got == [(0, 210), (1, 260), (1, 260), (2, 0)]
     assert suffix_dedup.remove_repeats(docs.limit(0)).collect() == []
+
+
+def test_difference_cover_orders_suffixes(spark):
+    rng = random.Random(2)
+    for text in ("mississippi!", "".join(rng.choice("ab") for _ in range(31))):
+        rows = [(i, ord(c)) for i, c in enumerate(text)]
+        got = {r.at: r.rank for r in difference_cover.suffix_ranks(
+            spark.createDataFrame(rows, "at long, sym long")).collect()}
+        want = sorted(range(len(text)), key=lambda i: text[i:])
+        assert [got[i] for i in want] == list(range(1, len(text) + 1)), text
+
+
+def test_difference_cover_finds_the_same_bytes(spark):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdé fgh") for _ in range(n))
+    passage = word(230)
+    docs = spark.createDataFrame([(1, word(150) + passage + word(60)), (2, passage[10:220]), (3, "a" * 250), (4, None)],
+                                 "doc_id long, text string")
+    got, want = [{(r.id_, i) for r in found.covered(docs).collect() for i in range(r.start, r.stop)}
+                 for found in (difference_cover, suffix_dedup)]
+    assert got == want and len(got) > 600
