@@ -75,12 +75,10 @@ GROUP BY d.doc_id, s.n
 
 DECONTAMINATION = r"""
 WITH item AS (
-    SELECT item_id, list_filter(string_split_regex(
-        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')),
         '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
 doc AS (
-    SELECT doc_id, list_filter(string_split_regex(
-        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')),
         '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 item_place AS (SELECT item_id, w, len(w) AS n, unnest(range(1, len(w) - 3)) AS p FROM item WHERE len(w) >= 5),
 item_shingle AS (

@@ -25,7 +25,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapelens.llm.base import ascii_lower, bits_of, whole_text, word_list
+from tapelens.llm.base import bits_of, whole_text, word_list
 from tapelens.session import cut_lineage
 
 SHINGLE_WORDS = 5
@@ -46,12 +46,13 @@ def _shingles(words: Column, size: Column | int) -> Column:
         F.array().cast("array<string>"))
 
 
-def _places(words: Column, size: int) -> Column:
-    """The hash of the shingle at each place."""
-    return F.when(F.size(words) >= size, F.transform(
-        F.sequence(F.lit(1), F.size(words) - (size - 1)),
-        lambda i: F.xxhash64(F.array_join(F.slice(words, i, size), " ")))).otherwise(
-        F.array().cast("array<long>"))
+def _placed(rows: DataFrame, keep: list[str], size: int) -> DataFrame:
+    """`keep`, place (from 1) and hash of every run of `size` words of column `words`."""
+    count = F.greatest(F.size("words") - (size - 1), F.lit(0))
+    grams = F.arrays_zip(*[F.slice("words", j + 1, count).alias(f"w{j}") for j in range(size)])
+    return rows.select(*keep, F.posexplode(grams).alias("at", "gram")).select(
+        *keep, (F.col("at") + 1).alias("at"),
+        F.xxhash64(*[F.col(f"gram.w{j}") for j in range(size)]).alias("h"))
 
 
 def simhash(shingles: Column) -> Column:
@@ -108,39 +109,38 @@ def similarity(a: Column, b: Column) -> Column:
 
 def items_of(benchmark: DataFrame) -> DataFrame:
     words = benchmark.select(
-        "item_id", word_list(ascii_lower(whole_text())).alias("words")).where(F.size("words") > 0)
+        "item_id", word_list(F.lower(whole_text())).alias("words")).where(F.size("words") > 0)
     sized = words.withColumn("n", F.size("words")).withColumn("k", F.least("n", F.lit(SHINGLE_WORDS)))
-    return _with_simhash(sized.withColumn("shingles", _shingles(F.col("words"), F.col("k"))).drop("words"))
+    return _with_simhash(sized.withColumn("shingles", _shingles(F.col("words"), F.col("k"))))
 
 
-def _document_words(docs: DataFrame) -> DataFrame:
+def _document_texts(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id_"),
-        F.xxhash64(whole_text()).alias("hash_"),
-        word_list(ascii_lower(whole_text())).alias("words"))
+        F.xxhash64(whole_text()).alias("hash_"), whole_text().alias("text"))
 
 
 def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     """All item-sized windows that share a shingle with an item of their size."""
-    known = _sized(items.select(
-        "n", "k", F.explode(F.transform("shingles", lambda s: F.xxhash64(s))).alias("h")).distinct())
-    words = _document_words(docs)
+    texts, lowered = _document_texts(docs), word_list(F.lower(F.col("text")))
+    words = texts.select("id_", "hash_", lowered.alias("words")).withColumn("of", F.size("words"))
     found = []
     for size in sorted(row.k for row in items.select("k").distinct().collect()):  # at most five values
-        placed = words.select("id_", "hash_", F.size("words").alias("of"),
-                              F.posexplode(_places(F.col("words"), size)).alias("at", "h"))
-        found.append(placed.join(known.where(F.col("k") == size), "h").select(
-            "id_", "hash_", "n", "k", "of", (F.col("at") + 1).alias("at")))
+        known = _placed(items.where(F.col("k") == size), ["n", "k"], size).select("n", "k", "h").distinct()
+        found.append(_placed(words, ["id_", "hash_", "of"], size).join(_sized(known), "h").select(
+            "id_", "hash_", "n", "k", "of", "at"))
     if not found:
-        nothing = words.where(F.lit(False)).withColumn("n", F.lit(0)).withColumn("start", F.lit(0))
-        return nothing.withColumn("k", F.lit(0)).withColumn("shingles", F.col("words"))
+        return texts.where(F.lit(False)).select(
+            "doc_id", "id_", "hash_", F.lit(0).alias("n"), F.lit(0).alias("start"),
+            F.array().cast("array<string>").alias("shingles"))
     anchors = functools.reduce(DataFrame.unionAll, found)
     first = F.greatest(F.lit(1), F.col("at") - F.col("n") + F.col("k"))
     last = F.least(F.col("at"), F.greatest(F.lit(1), F.col("of") - F.col("n") + 1))
-    starts = anchors.groupBy("id_", "hash_", "n", "k").agg(F.array_distinct(F.flatten(
-        F.collect_set(F.sequence(first, last)))).alias("starts"))
-    cut = words.join(cut_lineage(starts), ["id_", "hash_"]).dropDuplicates(["id_", "hash_", "n"])
+    starts = cut_lineage(anchors.groupBy("id_", "hash_", "n", "k").agg(F.array_distinct(F.flatten(
+        F.collect_set(F.sequence(first, last)))).alias("starts")))
+    cut = texts.join(starts, ["id_", "hash_"]).dropDuplicates(["id_", "hash_", "n"]).withColumn(
+        "words", lowered)
     each = cut.select("doc_id", "id_", "hash_", "n", "k", "words", F.explode("starts").alias("start"))
     return each.withColumn("window", F.slice("words", F.col("start"), F.col("n"))).select(
         "doc_id", "id_", "hash_", "n", "start", _shingles(F.col("window"), F.col("k")).alias("shingles"))
