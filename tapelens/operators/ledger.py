@@ -47,28 +47,34 @@ def usage_by_model(usage: DataFrame) -> DataFrame:
         .alias("model"), "calls", "input_tokens", "output_tokens", "seconds")
 
 
+#: A crossing is searched by totals of ever smaller units.
+CROSSING_UNITS = ("hour", "minute", "second")
+
+
 def first_crossings(ledger: DataFrame, levels: list[float] | None = None) -> DataFrame:
     """The entry with which a phase first reached 70 % and 90 % of its cap.
 
-    Hourly totals first (their running sum is short), then only the hour of the crossing is
-    walked entry by entry: a phase with a third of the ledger is never sorted in one task.
+    Hourly totals first (their running sum is short), then the minutes of that hour, the seconds
+    of that minute, and only the entries of the second of the crossing are walked one by one: a
+    phase with a third of the ledger is never sorted in one task.
     """
-    hour = F.date_trunc("hour", "ts")
-    entries = ledger.withColumn("hour", hour)
-    hourly = entries.groupBy("phase", "hour").agg(F.sum("credits").alias("credits"))
-    upto = W.partitionBy("phase").orderBy("hour")
-    running = hourly.withColumn("after", F.sum("credits").over(upto)).withColumn(
-        "before", F.col("after") - F.col("credits"))
-    limits = F.broadcast(caps(ledger.sparkSession)).withColumn(
+    entries = ledger.withColumns({unit: F.date_trunc(unit, "ts") for unit in CROSSING_UNITS})
+    limits = caps(ledger.sparkSession).withColumn(
         "level", F.explode(F.array(*[F.lit(x) for x in levels or K.ALARM_LEVELS])))
-    reached = limits.join(running, "phase").where(
-        F.col("after") / F.col("cap") >= F.col("level"))
-    first_hour = reached.groupBy("phase", "level", "cap").agg(
-        F.min_by(F.struct("hour", "before"), "hour").alias("first")).select(
-        "phase", "level", "cap", "first.hour", "first.before")
+    found, place = F.broadcast(limits).withColumn("before", F.lit(0).cast("long")), []
+    for unit in CROSSING_UNITS:
+        totals = entries.groupBy("phase", *place, unit).agg(F.sum("credits").alias("credits"))
+        upto = W.partitionBy("phase", "level").orderBy(unit)
+        running = totals.join(found, ["phase", *place]).withColumn(
+            "after", F.col("before") + F.sum("credits").over(upto))
+        reached = running.where(F.col("after") / F.col("cap") >= F.col("level"))
+        place = [*place, unit]
+        found = reached.groupBy("phase", "level", "cap").agg(
+            F.min_by(F.struct(*place, (F.col("after") - F.col("credits")).alias("before")), unit)
+            .alias("first")).select("phase", "level", "cap", "first.*")
     walk = W.partitionBy("phase", "level").orderBy("ts", "event_id")
-    inside = first_hour.join(
-        entries.select("phase", "hour", "ts", "event_id", "credits"), ["phase", "hour"])
+    inside = found.join(entries.select("phase", *place, "ts", "event_id", "credits"),
+                        ["phase", *place])
     spent = inside.withColumn("spent", F.col("before") + F.sum("credits").over(walk)).where(
         F.col("spent") / F.col("cap") >= F.col("level"))
     return spent.groupBy("phase", "level", "cap").agg(

@@ -106,10 +106,11 @@ def request_outcome(requests: DataFrame, outcomes: DataFrame, by: str = "day") -
 
 
 def freshness_gaps(tables, grid: DataFrame, table: str = "daily_transaction",
-                   holes_count: bool = True) -> DataFrame:
+                   holes_count: bool = True, since=None) -> DataFrame:
     """Is a symbol's series behind the last session, or missing one since its first row?
 
-    Sessions are counted, not listed: span minus rows is the number of holes.
+    Sessions are counted, not listed: span minus rows is the number of holes. With `since` the
+    count starts there, or at the first row where that is later.
     """
     calendar = pit.trading_calendar(tables)
     markers = pit.with_end_session(grid, calendar).select(
@@ -120,12 +121,17 @@ def freshness_gaps(tables, grid: DataFrame, table: str = "daily_transaction",
     upto = W.partitionBy("symbol").orderBy("session_idx").rangeBetween(
         W.unboundedPreceding, W.currentRow)
     has = F.when(F.col("n") == 1, F.col("session_idx"))
+    start = F.lit(1) if since is None else calendar.where(
+        F.col("trade_date") >= F.lit(since).cast("date")).agg(F.min("session_idx")).scalar()
+    inside = F.when(F.col("session_idx") >= start, F.col("n"))
     seen = rows.select(
-        "symbol", "as_of", "session_idx", F.count("n").over(upto).alias("rows"),
-        F.min(has).over(upto).alias("first_idx"), F.max(has).over(upto).alias("last_idx"),
+        "symbol", "as_of", "session_idx", F.count(inside).over(upto).alias("rows"),
+        F.greatest(F.min(has).over(upto), start).alias("first_idx"),
+        F.max(has).over(upto).alias("last_idx"),
     ).where("as_of is not null")
     behind = F.col("last_idx") < F.col("session_idx")
     holes = F.col("last_idx") - F.col("first_idx") + 1 - F.col("rows")
+    holes = F.greatest(holes, F.lit(0))
     lag = F.coalesce(behind | ((holes > 0) if holes_count else F.lit(False)), F.lit(False))
     return seen.select("symbol", "as_of", "rows", F.coalesce(behind, F.lit(False))
                        .alias("behind"), F.coalesce(holes, F.lit(0)).alias("holes"),

@@ -30,7 +30,7 @@ def query(name: str, sql: str | None = None):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from tapelens.plans import (  # noqa: F401
-        boards_jobs, calibration_jobs, ingest_jobs, policy_jobs, probe_jobs, text_jobs)
+        boards_jobs, calibration_jobs, ingest_jobs, policy_jobs, probe_jobs, stream_jobs, text_jobs)
     return dict(QUERIES)
 
 
