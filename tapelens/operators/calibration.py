@@ -69,7 +69,7 @@ def auc_by_component(matrix: DataFrame) -> DataFrame:
     names = matrix.sparkSession.createDataFrame(
         [(c, i) for i, c in enumerate(K.COMPONENTS)], "component string, position int")
     both = (F.col("pos") > 0) & (F.col("neg") > 0)
-    return F.broadcast(names).join(sums, "component", "left").select(
+    return names.join(sums, "component", "left").select(
         "component", "position",
         F.when(both, F.col("wins") / (F.col("pos") * F.col("neg"))).alias("auc"))
 

@@ -17,7 +17,7 @@ def caps(spark) -> DataFrame:
 def spend_by_phase(ledger: DataFrame) -> DataFrame:
     """Every phase with its cap, spend, remainder, share and alarm flag, and a TOTAL row."""
     sums = ledger.groupBy("phase").agg(F.sum("credits").alias("spent"))
-    rows = F.broadcast(caps(ledger.sparkSession)).join(sums, "phase", "left").withColumn(
+    rows = caps(ledger.sparkSession).join(sums, "phase", "left").withColumn(
         "spent", F.coalesce("spent", F.lit(0)))
     total = rows.rollup("phase").agg(F.sum("cap").alias("cap"), F.sum("spent").alias("spent"))
     pct = F.col("spent") / F.col("cap")

@@ -261,7 +261,7 @@ def cost_catalogue(spark, ledger: DataFrame) -> DataFrame:
     paid for its endpoints. Cheapest first."""
     paid = ledger.groupBy("endpoint").agg(
         F.count("*").alias("calls"), F.sum("credits").alias("credits"))
-    listed = F.broadcast(price_list(spark)).join(paid, "endpoint", "left")
+    listed = price_list(spark).join(paid, "endpoint", "left")
     return listed.groupBy("probe", "component", "position").agg(
         F.sum("call_cost").alias("credit_cost"),
         F.array_join(F.array_sort(F.collect_set("endpoint")), ",").alias("endpoints"),

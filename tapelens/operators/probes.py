@@ -38,6 +38,13 @@ def robust_baseline(values: Column) -> Column:
         .alias("spread")))
 
 
+def robust_by_key(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Median and spread per key by two aggregations, for histories of any length."""
+    centre = rows.groupBy(*keys).agg(F.median(value).alias("median"))
+    apart = rows.join(centre, keys).groupBy(*keys, "median")
+    return apart.agg((F.median(F.abs(F.col(value) - F.col("median"))) * K.MAD_TO_SIGMA).alias("spread"))
+
+
 def result(df: DataFrame, checks: list[tuple[Column, str | Column]], score: Column,
            *measured: str) -> DataFrame:
     """Apply the give-up checks in order: the first that fails names the reason."""

@@ -147,10 +147,8 @@ def broker_shares(t):
              median(cast(volume as double)) over (partition by symbol) as med
       from daily_transaction) x group by symbol, med""")
 def robust(t):
-    volumes = t["daily_transaction"].groupBy("symbol").agg(
-        F.collect_list(F.col("volume").cast("double")).alias("v"))
-    both = volumes.withColumn("robust", probes.robust_baseline(F.col("v")))
-    return both.select("symbol", "robust.median", "robust.spread")
+    return probes.robust_by_key(t["daily_transaction"].select(
+        "symbol", F.col("volume").cast("double").alias("v")), ["symbol"], "v")
 
 
 @query("d5_turnover_sum", """
