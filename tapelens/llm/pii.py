@@ -1,9 +1,11 @@
 """Personal data: patterns propose spans, checksums confirm them, context words adjust the score.
 
 Base kinds (email, ip, card, phone) are reported as their patterns and validators decide. Two
-further kinds are proposed and reported only with enough score: `iban` (mod-97 must hold; two
-letters and digits of valid length already score enough) and `short_card` (13 to 15 digits that
-pass Luhn; one check digit is weak evidence, so a context word is needed nearby).
+further kinds are proposed and reported only with enough score: `iban` (country code, the length
+registered for it and mod-97 already score enough; codes without a registered length are no IBANs)
+and `short_card` (13 to 15 digits that pass Luhn; one check digit is weak evidence, so a context
+word is needed nearby). What follows either after a space (a word, a BIC, an amount, an expiry date)
+is not taken for a part of it.
 
 The patterns are written so that they take linear time on long unbroken runs: where a match can
 only begin at the start of a run, the start is asserted, and repetitions do not backtrack where
@@ -28,8 +30,28 @@ EMAIL = (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9]){15,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
-SHORT_CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,14}+(?![\x20-]?[0-9])"
+#: Length of an IBAN -> countries that use it (ISO 13616 registry).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GF GP GR IT MC MF MQ MR NC PF PM RE SM TF WF YT", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA YE", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: A proposal ends where its country's length is full, whatever follows after a space. Only its first
+#: letter is consumed (group 1 is the whole), so one that fails mod-97 hides none that begins inside it.
+IBAN = (r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})(?=((?:" + "|".join(
+    rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{length - 4}}}"
+    for length, countries in IBAN_LENGTHS.items()) + r")(?![A-Za-z0-9])))[A-Z]")
+#: A number goes on after a hyphen, except where a month and a year follow.
+_ENDS = r"(?![0-9])(?!-(?!(?:0?[1-9]|1[0-2])/[0-9]{2})[0-9])"
+#: Unbroken; in the groups printed on cards; or in any groups, then with no further group beside it.
+SHORT_CARDS = (
+    rf"(?<![0-9])(?<![0-9]-)[0-9]{{13,15}}+{_ENDS}",
+    r"(?<![0-9])(?:(?<![0-9]-)[0-9]{4}([\x20-])[0-9]{6}\1[0-9]{4,5}+"
+    r"|(?<![0-9][\x20-])[0-9]{4}([\x20-])(?:[0-9]{3}\2[0-9]{3}\2[0-9]{3}|[0-9]{4}\2[0-9]{4}\2[0-9]{1,3}+))"
+    + _ENDS,
+    r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,14}+(?![\x20-]?[0-9])")
 #: Kind -> score without context, words that raise it by CONTEXT_SCORE within CONTEXT characters.
 SCORES = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.8, "short_card": 0.4}
 CONTEXT_WORDS = {
@@ -79,11 +101,19 @@ def _proposals() -> dict[str, Column]:
         "ip": spans.find("body_", IP, "ip", lambda t: t.rlike(rf"^{part}(?:\.{part}){{3}}$")),
         "card": spans.find("body_", CARD, "card", lambda t: _between(length(t), 16, 19) & luhn(_digits(t))),
         "phone": spans.find("body_", PHONE, "phone", lambda t: _between(length(t), 8, 15)),
-        "iban": spans.find("body_", IBAN, "iban", lambda t: mod_97(compact(t))),
-        "short_card": spans.find("body_", SHORT_CARD, "short_card", lambda t: luhn(_digits(t))),
+        "iban": spans.apart(spans.find("body_", IBAN, "iban", lambda t: mod_97(compact(t)), ahead=True)),
+        **{f"short_card_{i}": spans.find("body_", pattern, "short_card", lambda t: luhn(_digits(t)))
+           for i, pattern in enumerate(SHORT_CARDS)},
     }
 
 
+def _short_cards() -> Column:
+    """Those in any groups only where they meet none that is unbroken or in groups of cards."""
+    sure = F.concat("short_card_0_", "short_card_1_")
+    return F.concat(sure, F.filter("short_card_2_", lambda s: ~F.exists(
+        sure, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]))))
+
+
 def _score(span: Column) -> Column:
     low = F.greatest(F.lit(0), span["start"] - CONTEXT)
     near = F.lower(F.concat_ws(" ", F.substring(F.col("body_"), low + 1, span["start"] - low),
@@ -106,7 +136,7 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     joined = made.select(
         *keep, "body_",
         F.concat(*[F.col(f"{kind}_") for kind in BASE_KINDS]).alias("base"),
-        F.concat(*[F.col(f"{kind}_") for kind in ADDED_KINDS]).alias("added"))
+        F.concat(F.col("iban_"), _short_cards()).alias("added"))
     scored = joined.select(
         *keep, spans.ordered(F.col("base"), BASE_KINDS, by_kind=True).alias("base"),
         F.when(F.size("base") + F.size("added") > 0, F.transform(

@@ -19,9 +19,14 @@ def none() -> Column:
     return F.array().cast(NO_SPANS)
 
 
-def find(body: str, pattern: str, kind: str, holds: Callable[[Column], Column] | None = None) -> Column:
-    """Leftmost non-overlapping matches of `pattern` in column `body`; those failing `holds` go."""
-    found = F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
+def find(body: str, pattern: str, kind: str, holds: Callable[[Column], Column] | None = None,
+         ahead: bool = False) -> Column:
+    """Leftmost non-overlapping matches of `pattern` in column `body`; those failing `holds` go.
+
+    With `ahead`, the pattern consumes one character and the span is its group 1, seen by looking
+    ahead from there: spans may overlap.
+    """
+    found = F.regexp_extract_all(body, F.lit(pattern), F.lit(1 if ahead else 0))
     before = F.slice(F.split(body, pattern, -1), 1, F.size(found))
 
     def step(state: Column, piece: Column) -> Column:
@@ -29,7 +34,8 @@ def find(body: str, pattern: str, kind: str, holds: Callable[[Column], Column] |
         end = start + F.length(piece["found"])
         span = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"),
                         piece["found"].alias("text"))
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).cast(NO_SPANS)
+        at = start + 1 if ahead else end
+        return F.struct(at.alias("at"), F.concat(state["spans"], F.array(span)).cast(NO_SPANS)
                         .alias("spans"))
 
     placed = F.aggregate(F.arrays_zip(before.alias("before"), found.alias("found")),
@@ -39,6 +45,17 @@ def find(body: str, pattern: str, kind: str, holds: Callable[[Column], Column] |
     return F.when(F.col(body).rlike(pattern), kept).otherwise(none())
 
 
+def apart(spans: Column) -> Column:
+    """Spans by start, without those that begin inside an earlier one that stays."""
+
+    def step(kept: Column, span: Column) -> Column:
+        inside = (F.size(kept) > 0) & (span["start"] < F.coalesce(
+            F.try_element_at(kept, F.lit(-1))["end"], F.lit(0)))
+        return F.when(inside, kept).otherwise(F.concat(kept, F.array(span)).cast(NO_SPANS))
+
+    return F.aggregate(spans, none(), step)
+
+
 def ordered(spans: Column, kinds: Sequence[str], by_kind: bool = False) -> Column:
     """Spans by start, then kind as listed; or by kind as listed, then start."""
     listed = F.array(*[F.lit(kind) for kind in kinds])

@@ -68,3 +68,34 @@ def test_empty_table_and_extra_columns(spark):
     docs = spark.createDataFrame([(None, "a@b.cc", "x", "y"), (None, "a@b.cc", "x", "y")],
                                  "doc_id long, text string, base string, found string")
     assert [len(r.base) for r in pii.scan(docs).collect()] == [1, 1]
+
+
+DE, DE_SPACED, AMEX = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "378282246310005"
+
+
+def test_what_follows_after_a_space_is_no_part_of_the_number(spark, tmp_path):
+    cases = {
+        **{f"{iban} {after}": f"iban:0:{len(iban)}" for iban in (DE, DE_SPACED) for after in (
+            "Please pay", "BIC COBADEFFXXX", "2 times", "12/27", "A", "ok", "1000")},
+        f"account {DE} 2 times": "iban:8:30",
+        f"{DE} {DE_SPACED} X": "iban:0:22,iban:23:50",
+        f"BE12 {DE_SPACED} X": "iban:5:32",
+        f"{DE}1": "", f"{DE}x": "", "ZZ89370400440532013000": "",
+        "GB82 WEST 1234 5698 7654 32 NO9386011117947 FR1420041010050500013M02606 7":
+            "iban:0:27,iban:28:43,iban:44:71",
+        **{f"card {AMEX} {after}": "short_card:5:20" for after in ("12/27", "1234", "Total 5", "7")},
+        f"card {AMEX}-12/27": "short_card:5:20", f"card {AMEX}-1": "",
+        "card 3782 822463 10005 12/27": "short_card:5:22",
+        "card 3782-822463-10005 12/27": "short_card:5:22",
+        "card 2 3782 822463 10005": "short_card:7:24",
+        "card 30569309025904 12/27": "short_card:5:19",
+        "card 4222222222222 12/27": "short_card:5:18",
+        "card 4222 222 222 222 12/27": "short_card:5:21",
+        f"visa {AMEX} 4222222222222 12/27": "short_card:5:20,short_card:21:34",
+        "card 37 8282246 310005": "short_card:5:22",
+    }
+    rows = list(enumerate(cases))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.spans for r in jobs.op7(spark, str(tmp_path)).collect()}
+    assert {text: ",".join(s for s in got[i].split(",") if s.startswith(pii.ADDED_KINDS))
+            for i, text in rows} == cases
