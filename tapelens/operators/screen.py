@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,7 +12,6 @@ from pyspark.sql import functions as F
 from tapelens import constants as K
 from tapelens.functions import scalar as S
 from tapelens.operators import pit
-from tapelens.operators.probes import robust_baseline
 
 
 def aligned_prices(tables, calendar: DataFrame) -> DataFrame:
@@ -50,34 +52,61 @@ def return_signals(tables, grid: DataFrame, calendar: DataFrame) -> DataFrame:
     )
 
 
+def _running_zscore(rows: pd.DataFrame) -> pd.DataFrame:
+    """Robust z of every volume of a symbol against all earlier ones, in one ordered pass.
+
+    The earlier volumes are kept sorted; the median deviation is found between the two sorted
+    halves beside the median by bisection.
+    """
+    seen: list[float] = []
+    out: list[tuple[int, float | None]] = []
+
+    def deviation(k: int, middle: float, left: int) -> float:
+        """The k-th smallest distance to `middle`; `left` volumes are below it."""
+        below = lambda i: middle - seen[left - 1 - i]
+        above = lambda i: seen[left + i] - middle
+        low, high = max(0, k + 1 - (len(seen) - left)), min(k + 1, left)
+        while low < high:
+            i = (low + high) // 2
+            low, high = (i + 1, high) if below(i) < above(k - i) else (low, i)
+        return max([below(low - 1)] * (low > 0) + [above(k - low)] * (low <= k))
+
+    ordered = rows.sort_values(["session_idx", "v"])
+    for session, value in zip(ordered["session_idx"].tolist(), ordered["v"].tolist()):
+        z, n = None, len(seen)
+        if n + 1 >= K.SCREEN_MIN_ROWS:
+            half = (n - 1) // 2
+            middle = (seen[half] + seen[n // 2]) / 2
+            left = bisect.bisect_left(seen, middle)
+            spread = (deviation(half, middle, left) + deviation(n // 2, middle, left)) / 2 * K.MAD_TO_SIGMA
+            z = (value - middle) / spread if spread > 0 else None
+        if out and out[-1][0] == session:
+            out.pop()
+        out.append((session, z))
+        bisect.insort(seen, value)
+    made = pd.DataFrame(out, columns=["session_idx", "volume_z"]).astype({"volume_z": "float64"})
+    return made.assign(symbol=rows["symbol"].iloc[0])[["symbol", "session_idx", "volume_z"]]
+
+
 def volume_zscore(tables, grid: DataFrame, calendar: DataFrame,
                   fresh_sessions: int = K.SCREEN_FRESH) -> DataFrame:
     """Robust z of the last volume against all earlier rows; null if short, flat or stale.
 
-    Each symbol's volumes travel once, as one array with at most one entry per session; its
-    as-of dates are expanded next to it, so no history is copied through a shuffle.
+    The score of every traded session comes from one pass over the symbol's volumes (at most
+    one per session); the grid looks up the newest, so its density costs no more passes.
     """
     volumes = pit.with_session(
-        tables["daily_transaction"].where("volume is not null"), calendar).groupBy("symbol").agg(
-        F.array_sort(F.collect_list(F.struct(
-            "session_idx", F.col("volume").cast("double").alias("v")))).alias("history"))
-    ended = pit.with_end_session(grid, calendar).groupBy("symbol").agg(
-        F.collect_list(F.struct("as_of", "end_idx")).alias("points"))
-    seen = F.filter("history", lambda r: r["session_idx"] <= F.col("end_idx"))
-    baseline = F.transform(F.slice("seen", 1, F.greatest(F.size("seen") - 1, F.lit(0))),
-                           lambda r: r["v"])
-    rows = (
-        ended.join(volumes, "symbol").select("symbol", "history", F.inline("points"))
-        .select("symbol", "as_of", "end_idx", seen.alias("seen"))
-        .withColumn("newest", F.try_element_at("seen", F.lit(-1)))
-        .withColumn("robust", F.when(F.size("seen") >= K.SCREEN_MIN_ROWS,
-                                     robust_baseline(baseline)))
-    )
-    fresh = ((F.col("newest.session_idx") >= F.col("end_idx") - fresh_sessions)
+        tables["daily_transaction"].where("volume is not null and symbol is not null"), calendar).select(
+        "symbol", "session_idx", F.col("volume").cast("double").alias("v"))
+    scored = volumes.groupBy("symbol").applyInPandas(
+        _running_zscore, "symbol string, session_idx int, volume_z double")
+    ended = pit.with_end_session(grid, calendar).select("symbol", "as_of", "end_idx").join(
+        volumes.select("symbol").distinct(), "symbol", "left_semi")
+    known = pit.asof_join(ended, scored, by=["symbol"], grid_on="end_idx", fact_on="session_idx",
+                          values=["session_idx", "volume_z"])
+    fresh = ((F.col("latest.session_idx") >= F.col("end_idx") - fresh_sessions)
              | (F.col("end_idx") <= fresh_sessions))
-    z = F.when(fresh & (F.col("robust.spread") > 0),
-               (F.col("newest.v") - F.col("robust.median")) / F.col("robust.spread"))
-    return rows.select("symbol", "as_of", z.alias("volume_z"))
+    return known.select("symbol", "as_of", F.when(fresh, F.col("latest.volume_z")).alias("volume_z"))
 
 
 def small_cap(tables, grid: DataFrame) -> DataFrame:

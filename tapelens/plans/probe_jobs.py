@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from tapelens import constants as K
 from tapelens.functions import scalar as S
 from tapelens.operators import pit, probes, scoring, screen, selection
 from tapelens.plans import check_sql as C
-from tapelens.plans.registry import query
+from tapelens.plans.registry import CHECKS, query
 
 
 def weekly_grid(t):
@@ -26,6 +29,12 @@ def monthly_grid(t):
     return pit.as_of_grid(t["company_profile"].select("symbol"), month_dates(t))
 
 
+def session_grid(t):
+    """Every symbol at every session: the grid of the screen."""
+    return pit.as_of_grid(t["company_profile"].select("symbol"), pit.trading_calendar(t).select(
+        F.col("trade_date").alias("as_of")))
+
+
 def r(name: str, digits: int = 6):
     return S.half_even(F.col(name), digits).alias(name)
 
@@ -430,16 +439,16 @@ def aligned(t):
 
 @query("w2_return_n_sessions", """
     select symbol, as_of, price_rows, return_5d, return_20d from m_returns""")
-def returns(t):
-    return screen.return_signals(t, monthly_grid(t), pit.trading_calendar(t))
+def returns(t, grid=monthly_grid):
+    return screen.return_signals(t, grid(t), pit.trading_calendar(t))
 
 
 @query("w3_volume_zscore", """
     select g.symbol, g.as_of, round(v.volume_z, 6) as volume_z from month_grid g
     join (select distinct symbol from daily_transaction) d on d.symbol = g.symbol
     left join m_volume v on v.symbol = g.symbol and v.as_of = g.as_of""")
-def volume_z(t):
-    return screen.volume_zscore(t, monthly_grid(t), pit.trading_calendar(t)).select(
+def volume_z(t, grid=monthly_grid):
+    return screen.volume_zscore(t, grid(t), pit.trading_calendar(t)).select(
         "symbol", "as_of", F.round("volume_z", 6).alias("volume_z"))
 
 
@@ -479,33 +488,37 @@ def yoy(t):
 
 
 @query("c4_recent_event_semi", "select symbol, as_of, event from m_event")
-def recent(t):
-    return screen.recent_event(t, monthly_grid(t))
+def recent(t, grid=monthly_grid):
+    return screen.recent_event(t, grid(t))
 
 
 @query("p11_screen_score", """
     select symbol, as_of, price_rows, round(return_5d, 4) as return_5d,
            round(return_20d, 4) as return_20d, round(volume_z, 4) as volume_z, small_cap, event,
            score from m_screen""")
-def screened(t):
-    return screen.screen(t, monthly_grid(t)).select(
+def screened(t, grid=monthly_grid):
+    return screen.screen(t, grid(t)).select(
         "symbol", "as_of", "price_rows", F.round("return_5d", 4).alias("return_5d"),
         F.round("return_20d", 4).alias("return_20d"), F.round("volume_z", 4).alias("volume_z"),
         "small_cap", "event", "score")
 
 
 @query("p12_screen_reason_text", "select symbol, as_of, reason from m_reasoned")
-def reasons(t):
-    return screen.screen(t, monthly_grid(t)).select("symbol", "as_of", "reason")
+def reasons(t, grid=monthly_grid):
+    return screen.screen(t, grid(t)).select("symbol", "as_of", "reason")
+
+
+def watchlist(t, grid=monthly_grid):
+    return screen.watchlist(screen.screen(t, grid(t)))
 
 
 def month_watchlist(t):
-    return screen.watchlist(screen.screen(t, monthly_grid(t)))
+    return watchlist(t)
 
 
 @query("e2_watchlist_topk", "select as_of, rank, symbol, score from m_watchlist")
-def watch(t):
-    return month_watchlist(t).select("as_of", "rank", "symbol", "score")
+def watch(t, grid=monthly_grid):
+    return watchlist(t, grid).select("as_of", "rank", "symbol", "score")
 
 
 @query("p27_signals_text", """
@@ -515,14 +528,34 @@ def watch(t):
              case when small_cap > 0 then 'kecil' end, case when event then 'ada dalam periode'
              end, format('{:.2f}', round_even(score, 2))) as shown
     from m_watchlist""")
-def signal_texts(t):
-    s = screen.signals_text(month_watchlist(t))
+def signal_texts(t, grid=monthly_grid):
+    s = screen.signals_text(watchlist(t, grid))
     keys = ["volume_z", "return_5_hari_bursa", "kapitalisasi", "peristiwa_korporasi",
             "skor_seleksi_watchlist"]
     return s.select("as_of", "symbol", F.concat_ws("|", *[F.col("signals")[k] for k in keys])
                     .alias("shown"))
 
 
+# The reference screens every trading day: the same jobs and the same SQL on that grid.
+def on_sessions(sql: str) -> str:
+    return re.sub(r"\bmonth_grid\b", "session_grid", re.sub(
+        r"\bm_(returns|volume|event|small|screen|reasoned|watchlist)\b", r"s_\1", sql))
+
+
+C.CTES["session_grid"] = """
+    select p.symbol, c.trade_date as as_of, c.session_idx as end_idx
+    from company_profile p cross join calendar c"""
+C.CTES.update({on_sessions(name): on_sessions(sql) for name, sql in C.CTES.items()
+               if on_sessions(name) != name and name != "month_grid"})
+DAILY = {
+    "w2_return_n_sessions": returns, "w3_volume_zscore": volume_z, "c4_recent_event_semi": recent,
+    "p11_screen_score": screened, "p12_screen_reason_text": reasons, "e2_watchlist_topk": watch,
+    "p27_signals_text": signal_texts,
+}
+for _name, _job in DAILY.items():
+    query(f"{_name}_daily", on_sessions(CHECKS[_name]))(partial(_job, grid=session_grid))
+
+
 @query("p22_profile_signals", """
     select h.symbol, h.sessions, case when h.first_price > 0
              then round(h.last_price / h.first_price - 1, 6) end as price_change,

@@ -146,3 +146,29 @@ def test_no_python_and_no_cartesian_in_the_probe_plan(spark):
     text = plan.executedPlan().toString()
     for word in ("CartesianProduct", "PythonUDF", "ArrowEvalPython", "FlatMapGroupsInPandas"):
         assert word not in text
+
+
+def test_the_screen_is_registered_on_every_session(spark):
+    from statistics import median
+
+    from tapelens.plans import probe_jobs, registry
+
+    assert {f"{n}_daily" for n in probe_jobs.DAILY} <= registry.queries().keys() & registry.checks().keys()
+    tables = market.tables(spark)
+    screened = probe_jobs.DAILY["p11_screen_score"](tables, probe_jobs.session_grid).collect()
+    assert {r["as_of"] for r in screened if r["symbol"] == "FIXB"} == set(market.DAYS[19:])
+    got = {(r["symbol"], r["as_of"]): r["volume_z"] for r in probe_jobs.DAILY["w3_volume_zscore"](
+        tables, probe_jobs.session_grid).collect()}
+    volumes = {}
+    for r in tables["daily_transaction"].collect():
+        volumes.setdefault(r["symbol"], {})[r["trade_date"]] = float(r["volume"])
+    assert len(got) == len(volumes) * len(market.DAYS)
+    for (symbol, day), z in got.items():
+        known = [v for d, v in sorted(volumes[symbol].items()) if d <= day]
+        last = max((i for i, d in enumerate(market.DAYS) if d in volumes[symbol] and d <= day), default=-99)
+        at, want = market.DAYS.index(day), None
+        if len(known) >= 20 and (last >= at - 5 or at + 1 <= 5):
+            middle = median(known[:-1])
+            spread = median(abs(v - middle) for v in known[:-1]) * K.MAD_TO_SIGMA
+            want = round((known[-1] - middle) / spread, 6) if spread > 0 else None
+        assert z == (want if want is None else pytest.approx(want, abs=1e-6)), (symbol, day)
