@@ -232,6 +232,12 @@ VIEWS: dict[str, str] = {
         select doc_id, text from documents
         union all
         select -1 - doc_id as doc_id, narrative as text from statements""",
+    "whole_texts": """
+        select 'statement' as source, doc_id, 0 as turn, narrative as text from statements
+        union all
+        select 'document', doc_id, 0, text from documents
+        union all
+        select 'conversation', conv_id, turn, text from conversations""",
 }
 
 # The one place where the two dialects differ: reading a number out of a JSON text.

@@ -83,6 +83,43 @@ def unsupported(t):
     return t["statements"].select("doc_id", F.size(found).cast("long").alias("n")).where("n > 0")
 
 
+# The same checks over whole texts: statements, documents and every turn of the conversations.
+TEXT_KEY = ["source", "doc_id", "turn"]
+C.CTES["text_tokens"] = tokens_cte("whole_texts", "text", ", ".join(TEXT_KEY))
+
+
+def text_tokens(t) -> DataFrame:
+    """One row per key and text, with the number of times it stands there."""
+    found = t["whole_texts"].select(*TEXT_KEY, F.inline(textqa.number_tokens(F.col("text"))))
+    return found.groupBy(*TEXT_KEY, "key.magnitude", "key.unit").agg(F.count("*").alias("n"))
+
+
+@query("t1_number_tokens_corpus", """
+    select source, doc_id, turn, magnitude, unit, count(*) as n from text_tokens
+    group by 1, 2, 3, 4, 5""")
+def corpus_tokens(t):
+    return text_tokens(t)
+
+
+@query("t3_unsupported_numbers_corpus", """
+    select t.source, t.doc_id, t.turn, count(distinct (t.magnitude, t.unit)) as n
+    from text_tokens t left join allowed a on t.source = 'statement'
+      and a.doc_id = t.doc_id and a.magnitude = t.magnitude and a.unit = t.unit
+    where a.doc_id is null group by 1, 2, 3""")
+def corpus_unsupported(t):
+    """Only statements have evidence; every number of the other texts is without a source."""
+    known = allowed(t).withColumn("source", F.lit("statement"))
+    strange = text_tokens(t).join(known, ["source", "doc_id", "magnitude", "unit"], "left_anti")
+    return strange.groupBy(*TEXT_KEY).agg(F.count("*").alias("n"))
+
+
+@query("t14_emdash_normalise_corpus", r"""
+    select source, doc_id, turn, regexp_replace(text, '\s*—\s*', ', ', 'g') as text
+    from whole_texts""")
+def corpus_dashes(t):
+    return t["whole_texts"].select(*TEXT_KEY, textqa.no_em_dash(F.col("text")).alias("text"))
+
+
 C.CTES["tickers"] = r"""
     select distinct doc_id, w as ticker from (
       select doc_id, symbol, unnest(string_split_regex(text, '[^\p{L}\p{N}_]+')) as w

@@ -215,3 +215,26 @@ def test_cooldown_gives_its_place_to_the_next(spark):
 def test_headline(spark):
     assert one(spark, transcripts.headline(F.lit("Satu kalimat. Dua"))) == "Satu kalimat"
     assert len(one(spark, transcripts.headline(F.lit("x" * 130)))) == 118
+
+
+def test_number_and_dash_checks_read_whole_texts(spark):
+    from tapelens.plans import registry, text_jobs
+
+    names = ("t1_number_tokens_corpus", "t3_unsupported_numbers_corpus", "t14_emdash_normalise_corpus")
+    assert set(names) <= registry.queries().keys() & registry.checks().keys()
+    tables = {
+        "statements": spark.createDataFrame(
+            [(1, "naik 12% dan 7 jt", "12%", "Rp 3 M", "Nilai", 3.0)],
+            "doc_id long, narrative string, display_1 string, display_2 string, label_2 string, value_2 double"),
+        "whole_texts": spark.createDataFrame(
+            [("statement", 1, 0, "naik 12% dan 7 jt"), ("document", 1, 0, "kata " * 19000 + "12% 5 M — 5 M, 1.500"),
+             ("conversation", 1, 0, "tidak ada"), ("conversation", 1, 1, "3 x 3 x — 9"), ("document", 2, 0, None)],
+            "source string, doc_id long, turn int, text string")}
+    found = {(r.source, r.doc_id, r.turn, r.magnitude, r.unit): r.n
+             for r in text_jobs.corpus_tokens(tables).collect()}
+    assert found["document", 1, 0, 5.0, "m"] == 2 and found["document", 1, 0, 1500.0, ""] == 1
+    assert sum(n for key, n in found.items() if key[0] == "conversation") == 3
+    assert {(r.source, r.doc_id, r.turn): r.n for r in text_jobs.corpus_unsupported(tables).collect()} == {
+        ("statement", 1, 0): 1, ("document", 1, 0): 3, ("conversation", 1, 1): 2}
+    clean = {(r.source, r.doc_id, r.turn): r.text for r in text_jobs.corpus_dashes(tables).collect()}
+    assert clean["document", 1, 0].endswith("5 M, 5 M, 1.500") and clean["document", 2, 0] is None
