@@ -32,8 +32,8 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BLOCKS, BLOCK_BITS, BLOCK_FLIPS = 8, 8, 2
 RADIUS = BLOCKS * (BLOCK_FLIPS + 1) - 1
-#: Tables of the benchmark side are broadcast up to so many rows (about 40 bytes each).
-BROADCAST_ROWS = 500_000
+#: Tables of the benchmark side are broadcast up to so many bytes of all their rows.
+BROADCAST_BYTES = 64 << 20
 _LANES = 0x0001000100010001
 
 
@@ -94,8 +94,14 @@ def _near_values() -> list[int]:
 
 
 def _sized(side: DataFrame) -> DataFrame:
-    """With a broadcast hint only below the documented number of rows, a plain join beyond."""
-    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+    """With a broadcast hint only below the documented number of bytes, a plain join beyond."""
+    held = F.lit(8 * (1 + len(side.columns))).cast("long")
+    for name, kind in side.dtypes:
+        if kind == "string":
+            held = held + F.coalesce(F.octet_length(name), F.lit(0))
+        elif kind == "array<string>":
+            held = held + F.coalesce(F.aggregate(name, F.lit(0).cast("long"), lambda n, s: n + 16 + F.octet_length(s)), F.lit(0))
+    return F.broadcast(side) if (side.agg(F.sum(held)).first()[0] or 0) <= BROADCAST_BYTES else side
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -148,11 +154,10 @@ def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """Per document and item found in it: the best window and its similarity."""
-    items = cut_lineage(items_of(benchmark))
+    items = cut_lineage(items_of(benchmark).withColumn("item_row", F.monotonically_increasing_id()))
     near = F.array(*[F.lit(mask) for mask in _near_values()])
     sides = items.select(
-        "item_id", "n", F.col("fingerprint").alias("item_fingerprint"),
-        F.col("shingles").alias("item_shingles"),
+        "item_row", "n", F.col("fingerprint").alias("item_fingerprint"),
         F.posexplode(F.array(*[_block(F.col("fingerprint"), i) for i in range(BLOCKS)]))
         .alias("block", "part"))
     keys = sides.select("*", F.explode(near).alias("mask")).withColumn(
@@ -165,7 +170,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMIL
     first_block = F.coalesce(*[
         F.when(F.bit_count(_block(apart, i)) <= BLOCK_FLIPS, F.lit(i)) for i in range(BLOCKS)])
     candidates = met.where((F.col("block") == first_block) & (F.bit_count(apart) <= RADIUS))
-    scored = candidates.withColumn(
+    texts = items.select("item_row", "item_id", F.col("shingles").alias("item_shingles"))
+    scored = candidates.join(_sized(texts), "item_row").withColumn(
         "similarity", similarity(F.col("shingles"), F.col("item_shingles"))).where(
         F.col("similarity") >= threshold)
     best = scored.groupBy("id_", "hash_", "doc_id", "item_id", "n").agg(

@@ -44,3 +44,17 @@ def test_hamming_blocks_cover_the_radius(spark):
         flips = rng.sample(range(64), decontaminate.RADIUS)
         blocks = [sum(1 << (f % 8) for f in flips if f // 8 == i) for i in range(8)]
         assert any(b in near for b in blocks)
+
+
+def test_broadcasts_are_bounded_by_bytes_and_keys_carry_no_shingles(spark, monkeypatch):
+    hinted = lambda side: "broadcast" in side._jdf.queryExecution().logical().toString()
+    long_rows = spark.range(20).selectExpr("id", "array_repeat(repeat('x', 1000000), 5) as shingles")
+    assert not hinted(decontaminate._sized(long_rows)) and hinted(decontaminate._sized(spark.range(20)))
+    seen, sized = [], decontaminate._sized
+    monkeypatch.setattr(decontaminate, "_sized", lambda side: seen.append(side.columns) or sized(side))
+    one, two = (" ".join(f"{w}{i}" for i in range(30)) for w in "ab")
+    items = spark.createDataFrame([(7, one), (7, two), (None, two)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {one} y"), (2, f"z {two}")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id or 0, r.similarity) for r in decontaminate.contaminated(docs, items).collect())
+    assert got == [(1, 7, 1.0), (2, 0, 1.0), (2, 7, 1.0)]
+    assert all("item_shingles" not in columns for columns in seen if "block" in columns)
