@@ -127,3 +127,118 @@ SELECT conv_id, speaker, block, count(*) AS n_turns,
        coalesce(sum(length(body)) FILTER (WHERE own), 0)::BIGINT AS n_trained
 FROM placed GROUP BY conv_id, speaker, block
 """
+
+_BYTE = "list_reduce(list_prepend(xor(c, b), range(8)), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))"
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit."""
+    bytes_ = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bytes_}), lambda c, b: {_BYTE}), 4294967295)"
+
+
+PREFIX_TRIE = rf"""
+WITH said AS (
+    SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}}
+        ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS t
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+planned AS (SELECT *, {_crc32('conv_id::VARCHAR')} % 6 AS h FROM said),
+rebuilt AS (
+    SELECT c.conv_id, list_concat(coalesce(b.t[1:c.h], c.t[1:0]), c.t[c.h + 1:]) AS t
+    FROM planned c LEFT JOIN said b ON b.conv_id = c.conv_id - c.conv_id % 100),
+prefix AS (SELECT conv_id, t, unnest(range(0, len(t) + 1)) AS depth FROM rebuilt),
+node AS (
+    SELECT t[1:depth] AS p, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+           coalesce(length(any_value(t[depth].text)), 0) AS len,
+           coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len(t) = depth), '') AS ends
+    FROM prefix GROUP BY 1, 2),
+counted AS (
+    SELECT n.*, (SELECT count(*) FROM node c WHERE c.depth = n.depth + 1 AND c.p[1:n.depth] = n.p) AS n_children,
+           (SELECT min(u.conv_id) FROM node u WHERE u.depth = n.depth - 1 AND u.p = n.p[1:n.depth - 1]) AS parent_conv_id
+    FROM node n)
+SELECT u.conv_id, u.depth, any_value(u.parent_conv_id) AS parent_conv_id, any_value(u.n_convs) AS n_convs,
+       any_value(u.n_children) AS n_children, count(*) FILTER (WHERE v.n_children = 0) AS n_leaves,
+       sum((v.n_convs - 1) * v.len)::BIGINT AS saved_tokens, sha256(any_value(u.ends)) AS ends_sha256
+FROM counted u JOIN counted v ON v.depth >= u.depth AND v.p[1:u.depth] = u.p
+GROUP BY u.p, u.conv_id, u.depth
+"""
+
+# One string per place of the grammar: the least cost in six digits, then the letters.
+_NONE = "'999999'"
+
+
+def _more(place: str, cost: str, letter: str) -> str:
+    return (f"CASE WHEN {place}[1:6] >= '900000' THEN {_NONE} ELSE "
+            f"lpad(({place}[1:6]::INT + {cost})::VARCHAR, 6, '0') || {place}[7:] || '{letter}' END")
+
+
+def _inserted(places: str) -> str:
+    """Insertions one after the other, twice round, from the place before each."""
+    once = lambda s: (f"list_transform([{s}], lambda x: [x[1], x[2], least(x[3], {_more('x[1]', '2', 'I')}, "
+                      f"{_more('x[2]', '2', 'I')}, {_more('x[4]', '2', 'I')}), "
+                      f"least(x[4], {_more('x[3]', '2', 'I')})])[1]")
+    return once(once(places))
+
+
+_CUT = "(CASE WHEN c[1][2] = 't' THEN 1 ELSE 0 END)"
+_STAYS = "c[1][2] NOT IN ('b', 'd')"
+
+
+def _onward(letter: str, places: tuple[str, ...]) -> str:
+    from_ = [_more(p, _CUT, "K") for p in places]
+    renamed = [_more(p, f"(2 + {_CUT})", "R") for p in places]
+    kept = f"CASE WHEN {_STAYS} AND c[1][1] = '{letter}' THEN least({', '.join(from_)}, {_NONE}) ELSE {_NONE} END"
+    if letter == "s":
+        return kept
+    return f"{kept}, CASE WHEN {_STAYS} THEN least({', '.join(renamed)}, {_NONE}) ELSE {_NONE} END"
+
+
+_TURN = ("[" + ", ".join(f"least({_more(f's[{i}]', '3', 'D')}{', ' + onward if onward else ''})" for i, onward in (
+    (1, ""), (2, _onward("s", ("s[1]",))), (3, _onward("u", ("s[1]", "s[2]", "s[4]"))), (4, _onward("a", ("s[3]",))))) + "]")
+
+STRUCTURE_REPAIR = rf"""
+WITH fate AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS fate
+    FROM conversations),
+damaged AS (
+    SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+           CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM fate, (VALUES (1), (2)) AS c(copy) WHERE fate <> 0 AND (copy = 1 OR fate = 3)),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+           rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS ended FROM damaged),
+faulty AS (
+    SELECT *, CASE WHEN ended = '' THEN 'b'
+        WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'd'
+        WHEN ended[-1] IN ('.', '!', '?') THEN '.' ELSE 't' END AS fault,
+        role[1] || coalesce(lag(role[1]) OVER (PARTITION BY conv_id ORDER BY pos DESC), '') AS pair,
+        lead(1) OVER (PARTITION BY conv_id ORDER BY pos) AS more
+    FROM placed),
+folded AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+           count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate,
+           count(*) FILTER (WHERE fault = 't') AS truncated,
+           count(*) FILTER (WHERE more = 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal,
+           list_reduce(list_prepend({_inserted("['000000', " + ", ".join([_NONE] * 3) + "]")},
+               list([role[1] || fault] ORDER BY pos)), lambda s, c: {_inserted(_TURN)}) AS least_
+    FROM faulty GROUP BY conv_id),
+parsed AS (SELECT *, least(least_[1], least_[4]) AS best FROM folded),
+letters AS (SELECT conv_id, unnest(string_split(best[7:], '')) AS letter, unnest(range(1, length(best) - 5)) AS nth FROM parsed),
+placed_letters AS (
+    SELECT *, count(*) FILTER (WHERE letter <> 'I') OVER w AS pos, count(*) FILTER (WHERE letter <> 'D') OVER w AS place
+    FROM letters WHERE letter <> '' WINDOW w AS (PARTITION BY conv_id ORDER BY nth)),
+sized AS (SELECT *, count(*) FILTER (WHERE letter <> 'D') OVER (PARTITION BY conv_id) % 2 AS odd FROM placed_letters),
+lines AS (
+    SELECT l.conv_id, l.nth, CASE WHEN letter = 'K' THEN f.role WHEN (place - odd) % 2 = 1 THEN 'user' ELSE 'assistant' END
+           || ':' || CASE WHEN letter = 'I' THEN '' ELSE f.text END AS line
+    FROM sized l LEFT JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.pos = l.pos
+    WHERE letter <> 'D'),
+joined AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY nth) AS body FROM lines GROUP BY conv_id)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(best[1:6]::BIGINT, 0) AS cost, coalesce(best[7:], '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i
+LEFT JOIN parsed p ON p.conv_id IS NOT DISTINCT FROM i.conv_id
+LEFT JOIN joined j ON j.conv_id IS NOT DISTINCT FROM i.conv_id
+"""

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapelens.llm import checks, decontaminate, html_model, language_codes, minmax_dedup, packing, perspectives, pii, quality_rules, secret_links, spans, suffix_dedup
+from tapelens.llm import (
+    checks, decontaminate, html_model, language_codes, minmax_dedup, packing, perspectives, pii, prefix_trie,
+    quality_rules, secret_links, spans, structure_repair, suffix_dedup)
 from tapelens.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,6 +100,17 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+@query("op11_structure_repair", checks.STRUCTURE_REPAIR)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return structure_repair.repair_digests(structure_repair.damaged(turns), turns)
+
+
+@query("op13_prefix_trie", checks.PREFIX_TRIE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.shared_prefixes(table(spark, sf_dir, "conversations"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
