@@ -73,6 +73,28 @@ FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN reached r ON r.v
 GROUP BY d.doc_id, s.n
 """
 
+SIZE_AWARE_JOIN = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+    FROM documents),
+places AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS p FROM words WHERE len(w) > 0),
+members AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS s FROM places),
+sized AS (SELECT doc_id, s, count(*) OVER (PARTITION BY doc_id) AS n FROM members),
+met AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS x, any_value(b.n) AS y, count(*) AS k
+    FROM sized a JOIN sized b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM met WHERE 100 * k >= 80 * (x + y - k)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reached(v, c) AS (
+    SELECT doc_id, doc_id FROM documents
+    UNION SELECT e.b, r.c FROM reached r JOIN edge e ON e.a = r.v AND r.c < e.b)
+SELECT d.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.c) AS component_id
+FROM documents d LEFT JOIN sized s USING (doc_id) JOIN reached r ON r.v = d.doc_id
+GROUP BY d.doc_id
+"""
+
 DECONTAMINATION = r"""
 WITH item AS (
     SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tapelens.llm import (
     checks, decontaminate, html_model, language_codes, minmax_dedup, packing, perspectives, pii, prefix_trie,
-    quality_rules, secret_links, spans, structure_repair, suffix_dedup)
+    quality_rules, secret_links, size_aware_join, spans, structure_repair, suffix_dedup)
 from tapelens.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,6 +106,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure_repair.repair_digests(structure_repair.damaged(turns), turns)
 
 
+@query("op12_size_aware_join", checks.SIZE_AWARE_JOIN)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return size_aware_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 @query("op13_prefix_trie", checks.PREFIX_TRIE)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.shared_prefixes(table(spark, sf_dir, "conversations"))
