@@ -157,21 +157,32 @@ def cells(marked: DataFrame) -> DataFrame:
                 rows.append(_row(key, block, [faults.count(f) for f in "bdt"] + [pairs], roles[0], roles[-1], cell_of(span)))
             yield _frame(rows)
 
-    def joined(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("block")
-        counts, cell, last = [0, 0, 0, 0], None, ""
-        for row in group.itertuples(index=False):
-            own = {pair: (cost, letters) for pair, cost, letters in zip(PAIRS, row.costs, row.letters) if cost >= 0}
-            cell = own if cell is None else product(cell, own)
-            counts = [a + getattr(row, name) for a, name in zip(counts, _SUMMARY)]
-            counts[3] += bool(last) and last + row.first not in FOLLOWS
-            last = row.last
-        return _frame([_row(row.key_, row.block // BLOCK, counts, group["first"].iloc[0], last, cell)])
+    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Neighbouring cells of sorted blocks, as long as they belong to one larger block."""
+        at, state = None, None
+        for batch in batches:
+            rows = []
+            for row in batch.itertuples(index=False):
+                own = {pair: (cost, letters) for pair, cost, letters in zip(PAIRS, row.costs, row.letters) if cost >= 0}
+                counts = [getattr(row, name) for name in _SUMMARY]
+                if at == (row.key_, row.block // BLOCK):
+                    before, first, last, cell = state
+                    counts = [a + b for a, b in zip(before, counts)]
+                    counts[3] += last + row.first not in FOLLOWS
+                    state = counts, first, row.last, product(cell, own)
+                    continue
+                if at is not None:
+                    rows.append(_row(*at, *state))
+                at, state = (row.key_, row.block // BLOCK), (counts, row.first, row.last, own)
+            yield _frame(rows)
+        if at is not None:
+            yield _frame([_row(*at, *state)])
 
     made = blocks_of(marked).mapInPandas(leaves, _CELLS)
     last_block = longest // BLOCK
     while last_block > 0:
-        made = made.groupBy("key_", F.expr(f"block div {BLOCK}").alias("block_")).applyInPandas(joined, _CELLS)
+        made = made.repartition("key_", F.expr(f"block div {BLOCK}")).sortWithinPartitions("key_", "block").mapInPandas(
+            joined, _CELLS)
         last_block //= BLOCK
     return made
 
