@@ -13,13 +13,13 @@ Steps, all as Spark jobs:
    with equal sets are one class from here on;
 2. a set that shares with the other sets fewer of its lowest hashes than any similar one would has no
    partner and ends here (a shared passage is not enough, so its list is never joined);
-3. the rest is ordered with the rarest shingles first, sizes are summed up in at most 64 * 8 buckets, the
-   boundary is chosen and subsets and lists are made;
-4. each set is compared with the centre it meets most often, then each holder of an open list or
-   subset with one member of the largest component there, so groups of copies close with one pair
-   per member;
-5. what is still apart and meets under a subset or in a list is compared in full, as far as sizes
-   and places in the order allow the overlap.
+3. each remaining set is compared with the centre it shares most of them with, so groups of copies
+   close with one pair per member; sets that share enough with another component stay open;
+4. the members of open sets are ordered with the rarest first, costs are summed up per size in at
+   most 64 * BUCKETS buckets, the boundary is chosen and subsets and lists are made;
+5. each holder of an open list or subset is compared with one member of the largest component
+   there; what is still apart and meets is compared in full, as far as sizes and places in the order
+   allow the overlap.
 
 Links inside a component cannot change the result, so no group is expanded into all its pairs;
 every pair of different components that may be similar is compared. Pages of one template that
@@ -44,12 +44,14 @@ from pyspark.sql import functions as F
 from tapelens.llm.base import whole_text
 from tapelens.llm.graphs import components, cut_small
 from tapelens.llm.minmax_dedup import _hash_set, _WordHash, in_components, one_partner_each, open_keys
+from tapelens.llm.suffix_dedup import MAP_BITS, name_map
 from tapelens.session import cut_lineage, scratch_dir
 
 SHINGLE_WORDS, PERCENT, SUBSET = 5, 80, 2
 #: A set shows the shingles among which n // SHOWN shared ones must lie.
 SHOWN = 10
 BUCKETS = 8  # per doubling of the size
+BROADCAST_ROWS = 500_000
 
 
 def _need(n, percent: int):
@@ -76,14 +78,40 @@ def marks_of(docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
         rows, "doc_id long, n long, digest binary, lowest array<long>")
 
 
-def with_partners(marks: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """id of every class that may be similar to another one."""
-    chosen = marks.join(classes.select("digest", F.col("id").alias("doc_id")), ["digest", "doc_id"], "left_semi")
-    shown = chosen.select(F.col("doc_id").alias("id"), "n", F.explode("lowest").alias("s"))
-    shared = shown.groupBy("s").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("s")
+def looked_up(rows: DataFrame, keys: DataFrame, on: list[str], how: str, size: int) -> DataFrame:
+    """`rows` joined with `keys`, which are broadcast only where their number is known to be small."""
+    return rows.join(F.broadcast(keys) if size <= BROADCAST_ROWS else keys, on, how)
+
+
+def shown_members(marks: DataFrame, classes: DataFrame) -> DataFrame:
+    """id, n, s: the lowest hashes of each class that other classes show too.
+
+    A bit map of fixed size spares the shuffle of most others; the join is exact.
+    """
+    copies = marks.join(classes, "digest").where("doc_id <> id").select("doc_id", "digest")
+    copies = cut_lineage(copies)
+    chosen = looked_up(marks, copies, ["doc_id", "digest"], "left_anti", copies.count())
+    shared = cut_lineage(chosen.select(F.explode("lowest").alias("name")).groupBy("name").agg(
+        F.count(F.lit(1)).alias("k")).where("k > 1").select("name"))
+    known = marks.sparkSession.sparkContext.broadcast(name_map(shared))
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.frombuffer(known.value, np.uint64)
+        for batch in batches:
+            for i, n, lowest in zip(batch["doc_id"], batch["n"], batch["lowest"]):
+                low = lowest.view(np.uint64) & np.uint64((1 << MAP_BITS) - 1)
+                may = (bits[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1) == 1
+                if may.any():
+                    yield pd.DataFrame({"id": i, "n": n, "name": lowest[may]})
+
+    likely = chosen.select("doc_id", "n", "lowest").mapInPandas(rows, "id long, n long, name long")
+    return likely.join(shared, "name", "left_semi").select("id", "n", F.col("name").alias("s")).distinct()
+
+
+def enough(rows: DataFrame, percent: int) -> DataFrame:
+    """id of every set with as many rows as any similar one would share."""
     least = F.greatest(F.lit(1), F.floor(_least(F.col("n"), percent) / SHOWN))
-    return shown.join(shared, "s", "left_semi").groupBy("id", "n").agg(F.count(F.lit(1)).alias("k")).where(
-        F.col("k") >= least).select("id").distinct()
+    return rows.groupBy("id", "n").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= least).select("id").distinct()
 
 
 def _least(n: Column, percent: int) -> Column:
@@ -100,7 +128,8 @@ def shared_sets(docs: DataFrame, ids: DataFrame, shingle_words: int, folder: str
             yield pd.DataFrame({"id": batch["id"], "n": [len(s) for s in found], "shingles": found})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), whole_text().alias("text"))
-    made = texts.join(ids, "id", "left_semi").mapInPandas(rows, "id long, n long, shingles array<long>")
+    made = looked_up(texts, ids, ["id"], "left_semi", ids.count()).mapInPandas(
+        rows, "id long, n long, shingles array<long>")
     made.dropDuplicates(["id", "shingles"]).write.parquet(f"{folder}/sets")
     return ids.sparkSession.read.parquet(f"{folder}/sets")
 
@@ -168,7 +197,7 @@ def meetings(rows: DataFrame, limit: int, percent: int, k: int) -> DataFrame:
 
 
 def to_centres(met: DataFrame) -> DataFrame:
-    """Each set with the smallest id of its subsets and lists that it meets most often."""
+    """Each set with the smallest id of its lists that it meets most often."""
     centre = met.groupBy("s").agg(F.min("id").alias("b"), F.max("id").alias("last")).where("b <> last").select("s", "b")
     counted = met.join(centre, "s").where("id <> b").groupBy("id", "b").agg(F.count(F.lit(1)).alias("k"))
     return counted.groupBy("id").agg(F.max(F.struct("k", (-F.col("b")).alias("minus"))).alias("best")).select(
@@ -214,13 +243,18 @@ def similar_documents(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, perce
     same = cut_lineage(of_row.join(several, "doc_id", "left_semi").select(
         F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b"))
 
-    ids = cut_lineage(with_partners(linked, classes, percent))
+    shown = cut_lineage(shown_members(linked, classes))
+    ids = cut_lineage(enough(shown, percent))
     size = ids.count()
     sets = shared_sets(docs, ids, shingle_words, folder)
-    rows = cut_lineage(ordered(sets, percent, subset))
-    met = cut_lineage(meetings(rows, boundary(rows, subset), percent, subset))
-    links = cut_small(confirmed(sets, cut_small(to_centres(met), size), percent).unionAll(same), size)
+    shown = cut_lineage(looked_up(shown, ids, ["id"], "left_semi", size))
+    links = cut_small(confirmed(sets, cut_small(to_centres(shown), size), percent).unionAll(same), size)
     labels = components(links)
+
+    placed = in_components(shown, labels)
+    pool = cut_lineage(enough(placed.join(open_keys(placed, "s"), "s"), percent))
+    rows = cut_lineage(ordered(sets.join(pool, "id", "left_semi"), percent, subset))
+    met = cut_lineage(meetings(rows, boundary(rows, subset), percent, subset))
     for pairs in (one_partner_each, lambda placed: across(placed, percent)):
         more = cut_small(confirmed(sets, pairs(cut_lineage(in_components(met, labels))), percent), size)
         if not more.isEmpty():
