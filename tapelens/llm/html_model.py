@@ -42,14 +42,15 @@ _MILLION = 1_000_000
 
 # fixed sets of HTML element names
 INLINE = frozenset("""a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label
-mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr""".split())
+mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr audio canvas object video math
+mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder mstyle mspace semantics""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("""script style noscript template svg head title iframe object canvas math select
-option button textarea audio video""".split())
+SILENT = frozenset("script style noscript template svg head title iframe select option button textarea".split())
 CLOSES_PARAGRAPH = frozenset("""address article aside blockquote details div dl fieldset figcaption figure
 footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul""".split())
 CLOSES_ITSELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
                  "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+DOCTYPE_WITH_INNER = re.compile(r"<!doctype[^>\[]*\[.*?\]\s*>", re.I | re.S)
 LIST_LIKE = frozenset("ul ol dl table menu".split())
 CONTAINERS = frozenset("root html body div section article main table tbody tr td form aside header footer nav center".split())
 
@@ -70,21 +71,36 @@ class Page(HTMLParser):
         self.tags, self.words, self.parents, self.gold = ["root"], [[]], [-1], [False]
         self.runs: list[tuple[int, str, bool]] = []  # block, text, whether in a link
         self.open: list[tuple[str, int]] = [("root", 0)]  # tag and block of the open elements
-        self.links = self.silent = 0
+        self.now = Counter()  # open elements by tag
+        self.silent = 0
         self.feed(html)
         self.close()
 
-    def _pop(self, count: int) -> None:
-        for tag, _ in self.open[len(self.open) - count:]:
-            self.links -= tag == "a"
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Conditional and unknown sections are comments, as in browsers."""
+        if self.rawdata[i:i + 9].upper() == "<![CDATA[" and (end := self.rawdata.find("]]>", i)) >= 0:
+            return end + 3
+        return self.rawdata.find(">", i) + 1 or -1
+
+    def parse_html_declaration(self, i: int) -> int:
+        """A document type ends after its own declarations."""
+        inner = DOCTYPE_WITH_INNER.match(self.rawdata, i)
+        return inner.end() if inner else super().parse_html_declaration(i)
+
+    def _pop(self, at: int) -> None:
+        for tag, _ in self.open[at:]:
+            self.now[tag] -= 1
             self.silent -= tag in SILENT
-        del self.open[len(self.open) - count:]
+        del self.open[at:]
 
     def _close(self, tags: set[str] | frozenset[str], until: frozenset[str]) -> None:
         """Close the nearest open element of `tags`, unless one of `until` stands in between."""
-        for back, (tag, _) in enumerate(reversed(self.open[1:]), 1):
+        if not any(self.now[tag] for tag in tags):
+            return
+        for at in range(len(self.open) - 1, 0, -1):
+            tag = self.open[at][0]
             if tag in tags:
-                self._pop(back)
+                self._pop(at)
                 return
             if tag in until:
                 return
@@ -98,7 +114,7 @@ class Page(HTMLParser):
             self._close({"p"}, frozenset(CLOSES_PARAGRAPH - {"p"}))
         if tag in CLOSES_ITSELF:
             self._close(CLOSES_ITSELF[tag], LIST_LIKE)
-        if tag == "body" and any(t == "head" for t, _ in self.open):
+        if tag == "body":
             self._close({"head"}, frozenset())
         block = self.open[-1][1]
         if tag not in INLINE:
@@ -110,7 +126,7 @@ class Page(HTMLParser):
             self.gold.append("data-gold" in values)
             block = len(self.tags) - 1
         self.open.append((tag, block))
-        self.links += tag == "a"
+        self.now[tag] += 1
         self.silent += tag in SILENT
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -119,16 +135,19 @@ class Page(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        for back, (name, _) in enumerate(reversed(self.open[1:]), 1):
+        if not self.now[tag]:
+            return
+        for at in range(len(self.open) - 1, 0, -1):
+            name = self.open[at][0]
             if name == tag:
-                self._pop(back)
+                self._pop(at)
                 return
             if tag in INLINE and name not in INLINE:
                 return
 
     def handle_data(self, data: str) -> None:
         if not self.silent:
-            self.runs.append((self.open[-1][1], data, self.links > 0))
+            self.runs.append((self.open[-1][1], data, self.now["a"] > 0))
 
 
 def node_features(page: Page) -> list[list[str]]:

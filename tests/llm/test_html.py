@@ -48,3 +48,31 @@ def test_articles_of_sampled_pages(spark):
         assert got[i] == f"Title {i} {TEXT} {i} Short."
     assert got[90] == got[None] == got[92] == ""
     assert html_model.extract(pages.limit(0)).collect() == []
+
+
+def read(html):
+    return "".join(text for _, text, _ in html_model.Page(html).runs)
+
+
+def test_malformed_pages_are_read_as_far_as_they_go():
+    assert read("<p>a<![foo[bar]]>b</p>") == "ab"
+    assert read("<p>a<![if !IE]>b<![endif]>c<![CDATA[x > y]]>d<![") in ("abcd", "abcd<![")
+    assert read("<!DOCTYPE html [<!ELEMENT x>]><p>a</p>") == "a"
+    assert read("<!doctype html><p>a<!-- b --><!x y>c</p>") == "ac"
+    for cut in range(60):
+        read('<![cdata[ a ]]><!DOCTYPE x [<!y>]><p class="z">a &am <b'[:cut])
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    start = time.perf_counter()
+    page = html_model.Page("<div>" * 50_000 + "<p>" + "<span>" * 50_000 + "deep" + "</b>" * 50_000)
+    assert time.perf_counter() - start < 3
+    assert len(page.tags) == 50_002 and [t for _, t, _ in page.runs] == ["deep"]
+
+
+def test_formulas_and_fallback_texts_are_text(spark):
+    model = html_model.Model(html_model.training_counts(spark.createDataFrame([], "html string")))
+    page = f"<article><p>The area is <math><mi>r</mi><mo>*</mo><mi>r</mi></math> squared. {TEXT}</p><p>{TEXT} <audio>Clip.</audio></p></article>"
+    assert html_model.main_text(page, model) == f"The area is r*r squared. {TEXT} {TEXT} Clip."
