@@ -41,6 +41,7 @@ _PIECE = 1 << 19
 _PLACE = np.uint64((1 << 20) - 1)
 #: Bits of the map of repeated names that tasks look at before they send an anchor on.
 MAP_BITS = 27
+_MAP_PART = 1 << 15  # words of 64 bits
 _ROOTS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -120,18 +121,29 @@ def anchor_names(docs: DataFrame) -> DataFrame:
     return docs.select(whole_text().alias("text")).mapInPandas(rows, "name long")
 
 
-def name_map(names: DataFrame) -> np.ndarray:
+def name_map(names: DataFrame) -> bytes:
     """A bit map of fixed size (16 MB) in which every name of `names` has its bit set.
 
+    Tasks pack its parts; the driver only puts the parts side by side.
+
     It only spares the shuffle of names that cannot be repeated; an exact join follows. With very
     many names most bits are set and it spares less.
     """
     bit = F.col("name").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
     words = names.groupBy(F.shiftright(bit, 6).cast("int").alias("word")).agg(F.bit_or(F.call_function(
-        "shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toPandas()
-    found = np.zeros(1 << (MAP_BITS - 6), np.int64)
-    found[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return found.view(np.uint64)
+        "shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+
+    def packed(group: pd.DataFrame) -> pd.DataFrame:
+        part = int(group["part"].iloc[0])
+        found = np.zeros(_MAP_PART, np.int64)
+        found[group["word"].to_numpy(np.int64) - part * _MAP_PART] = group["bits"].to_numpy(np.int64)
+        return pd.DataFrame({"part": [part], "bits": [found.tobytes()]})
+
+    whole = bytearray(1 << (MAP_BITS - 3))
+    for row in words.withColumn("part", F.expr(f"word div {_MAP_PART}")).groupBy("part").applyInPandas(
+            packed, "part int, bits binary").toLocalIterator():
+        whole[row.part * _MAP_PART * 8:(row.part + 1) * _MAP_PART * 8] = row.bits
+    return bytes(whole)
 
 
 def stretches(docs: DataFrame, names: DataFrame) -> DataFrame:
@@ -142,7 +154,7 @@ def stretches(docs: DataFrame, names: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(name_map(names))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
+        known = np.frombuffer(shared.value, np.uint64)
         for batch in batches:
             parts = []
             for i, key, text in zip(batch["id_"], batch["key_"], batch["text"]):
