@@ -25,9 +25,9 @@ A pair at the threshold 0.8 misses all 32 bands of 4 values with probability 5e-
 
 Defined cases: a null or empty text has an empty set and is linked with nothing; a document
 with fewer words than a shingle has its whole word sequence as its only shingle; rows with a
-null `doc_id` take no part in linking (component null, kept); rows that share a `doc_id` are
-one document (the union of their sets decides its links); ties go to the smaller `doc_id`; an
-empty table gives an empty result; extra columns are ignored.
+null `doc_id` take no part in linking (component null, kept); each row of a shared `doc_id` links
+by its own set; ties go to the smaller `doc_id`; an empty table gives an empty result; extra
+columns are ignored. `keep_one_of_each` judges rows by their texts alone, whatever their ids.
 """
 
 from __future__ import annotations
@@ -258,9 +258,20 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS,
 
 def keep_one_of_each(docs: DataFrame, shingle_words: int = SHINGLE_WORDS,
                      percent: int = PERCENT) -> DataFrame:
-    """The smallest document of every component, once; rows with a null id stay."""
-    found = near_duplicates(docs, shingle_words, percent)
-    dropped = cut_lineage(found.where(~F.col("kept")).select("doc_id").distinct())
-    stay = docs.join(dropped, "doc_id", "left_anti").select(*[F.col(f"`{n}`") for n in docs.columns])
-    named = stay.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return named.unionByName(stay.where(F.col("doc_id").isNull()))
+    """One row of every component stays, that with the smallest id (null ids last).
+
+    Rows are judged by their texts: rows with one id and different texts are documents of their own,
+    copies under a null id are copies. Rows with equal id and text are one.
+    """
+    row = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")),
+                     F.coalesce(F.octet_length("text"), F.lit(-1)), whole_text())
+    rows = docs.select(row.alias("doc_id"), F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id")).alias("first"), "text")
+    found = near_duplicates(rows.select("doc_id", "text"), shingle_words, percent).where("n_shingles > 0")
+    placed = found.select("doc_id", "component_id").distinct().join(
+        rows.select("doc_id", "first").distinct(), "doc_id")
+    best = placed.groupBy("component_id").agg(F.min(F.struct("first", "doc_id")).alias("best_"))
+    dropped = cut_lineage(placed.join(best, "component_id").where(F.col("doc_id") != F.col("best_.doc_id"))
+                          .select(F.col("doc_id").alias("row_")))
+    names = [F.col(f"`{name}`") for name in docs.columns]
+    marked = docs.select(F.struct(*names).alias("whole_"), row.alias("row_")).join(dropped, "row_", "left_anti")
+    return marked.dropDuplicates(["row_"]).select("whole_.*")
