@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from tapelens.llm.base import whole_text
 from tapelens.llm.graphs import components, cut_small
 from tapelens.llm.minmax_dedup import _hash_set, _WordHash, in_components, one_partner_each, open_keys
-from tapelens.llm.suffix_dedup import MAP_BITS, name_map
+from tapelens.llm.suffix_dedup import MAP_BITS, name_map, stored
 from tapelens.session import cut_lineage, scratch_dir
 
 SHINGLE_WORDS, PERCENT, SUBSET = 5, 80, 2
@@ -96,18 +96,26 @@ def shown_members(marks: DataFrame, classes: DataFrame) -> DataFrame:
     known = marks.sparkSession.sparkContext.broadcast(name_map(shared))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.frombuffer(known.value, np.uint64)
         for batch in batches:
-            for i, n, lowest in zip(batch["doc_id"], batch["n"], batch["lowest"]):
-                low = lowest.view(np.uint64) & np.uint64((1 << MAP_BITS) - 1)
-                may = (bits[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1) == 1
-                if may.any():
-                    yield pd.DataFrame({"id": i, "n": n, "name": lowest[may]})
+            found = [_may_be(known.value, lowest) for lowest in batch["lowest"]]
+            yield _spread(batch[["doc_id", "n"]], found).rename(columns={"doc_id": "id"})
 
     likely = chosen.select("doc_id", "n", "lowest").mapInPandas(rows, "id long, n long, name long")
     return likely.join(shared, "name", "left_semi").select("id", "n", F.col("name").alias("s")).distinct()
 
 
+def _may_be(bits: bytes, names: np.ndarray) -> np.ndarray:
+    """Those of `names` that have their bit set in the map."""
+    words, low = np.frombuffer(bits, np.uint64), names.view(np.uint64) & np.uint64((1 << MAP_BITS) - 1)
+    return names[(words[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1) == 1]
+
+
+def _spread(about: pd.DataFrame, names: list[np.ndarray]) -> pd.DataFrame:
+    """One row per name, with the columns of its row in `about`."""
+    return about.loc[about.index.repeat([len(x) for x in names])].assign(
+        name=np.concatenate([*names, np.empty(0, np.int64)]))
+
+
 def enough(rows: DataFrame, percent: int) -> DataFrame:
     """id of every set with as many rows as any similar one would share."""
     least = F.greatest(F.lit(1), F.floor(_least(F.col("n"), percent) / SHOWN))
@@ -118,20 +126,22 @@ def _least(n: Column, percent: int) -> Column:
     return F.ceil(percent * n / 100)
 
 
-def shared_sets(docs: DataFrame, ids: DataFrame, shingle_words: int, folder: str) -> DataFrame:
-    """id, n (size) and hashes of the documents in `ids`, one row per document and set."""
+def shared_sets(docs: DataFrame, ids: DataFrame, size: int, shingle_words: int, folder: str) -> DataFrame:
+    """id, n (size), set_ (a hash) and hashes of the documents in `ids`, one row per document and set."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _WordHash()
         for batch in batches:
             found = [_hash_set(text, shingle_words, known).view(np.int64) for text in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"], "n": [len(s) for s in found], "shingles": found})
+            yield pd.DataFrame({"id": batch["id"], "n": [len(s) for s in found], "set_": [
+                int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=7).digest()) for s in found], "shingles": found})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), whole_text().alias("text"))
-    made = looked_up(texts, ids, ["id"], "left_semi", ids.count()).mapInPandas(
-        rows, "id long, n long, shingles array<long>")
-    made.dropDuplicates(["id", "shingles"]).write.parquet(f"{folder}/sets")
-    return ids.sparkSession.read.parquet(f"{folder}/sets")
+    sets = stored(looked_up(texts, ids, ["id"], "left_semi", size).mapInPandas(
+        rows, "id long, n long, set_ long, shingles array<long>"), folder, "rows")
+    if sets.groupBy("id", "set_").agg(F.count(F.lit(1)).alias("k")).where("k > 1").isEmpty():
+        return sets
+    return stored(sets.dropDuplicates(["id", "set_"]), folder, "sets")
 
 
 def ordered(sets: DataFrame, percent: int, k: int) -> DataFrame:
@@ -140,15 +150,25 @@ def ordered(sets: DataFrame, percent: int, k: int) -> DataFrame:
     The rarest come first. Members of one set only cannot be shared: they use places up and have no
     row; m counts the others.
     """
-    each = sets.select("id", F.xxhash64("shingles").alias("set_"), "n", F.explode("shingles").alias("s"))
-    held = each.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    held = cut_lineage(sets.select(F.explode("shingles").alias("s")).groupBy("s").agg(
+        F.count(F.lit(1)).alias("df")).where("df > 1"))
+    known = sets.sparkSession.sparkContext.broadcast(name_map(held.select(F.col("s").alias("name"))))
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Members that other sets may have, of sets with enough of them."""
+        for batch in batches:
+            found = [_may_be(known.value, shingles) for shingles in batch["shingles"]]
+            yield _spread(batch[["id", "set_", "n"]], [
+                x if len(x) >= _need(n, percent) else x[:0] for n, x in zip(batch["n"], found)])
+
+    each = sets.mapInPandas(rows, "id long, set_ long, n long, name long").withColumnRenamed("name", "s")
     own = Window.partitionBy("id", "set_")
     ranked = each.join(held, "s").select("*", F.row_number().over(own.orderBy("df", "s")).alias("place"),
                                          F.count(F.lit(1)).over(own).alias("m"))
     reach = F.col("n") - _least(F.col("n"), percent) + k
     return ranked.where((F.col("m") >= _least(F.col("n"), percent)) & (
         F.col("place") <= reach - (F.col("n") - F.col("m")))).withColumn(
-        "single", F.col("place") <= reach - (F.col("n") - F.col("m")) - (k - 1))
+        "single", F.col("place") <= reach - (F.col("n") - F.col("m")) - (k - 1)).drop("df")
 
 
 def _bucket(n: Column) -> Column:
@@ -217,13 +237,15 @@ def across(met: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.col("id_a").alias("a"), F.col("id").alias("b")).distinct()
 
 
-def confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar enough, by the full sets."""
-    met = pairs.join(sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("of_a")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("of_b")), "b")
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    return met.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select(
-        "a", "b", (F.col("n_a") + F.col("n_b")).alias("both"), shared.alias("shared")).where(
+def confirmed(sets: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of `size` pairs (a, b) that are similar enough, by the full sets."""
+    of_a = looked_up(sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("of_a")),
+                     pairs, ["a"], "inner", size)
+    ends = looked_up(sets.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("of_b")),
+                     pairs.select("b").distinct(), ["b"], "left_semi", size)
+    met = of_a.join(ends, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    return met.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("both"),
+                      F.size(F.array_intersect("of_a", "of_b")).alias("shared")).where(
         100 * F.col("shared") >= percent * (F.col("both") - F.col("shared"))).select("a", "b").distinct()
 
 
@@ -233,8 +255,7 @@ def similar_documents(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, perce
     if not 50 < percent <= 100 or subset != 2:
         raise ValueError("subsets of two shingles need a similarity above 50 percent")
     folder = scratch_dir(docs.sparkSession)
-    marks_of(docs, shingle_words, percent).write.parquet(f"{folder}/marks")
-    marks = docs.sparkSession.read.parquet(f"{folder}/marks")
+    marks = stored(marks_of(docs, shingle_words, percent), folder, "marks")
     linked = marks.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = cut_lineage(linked.groupBy("digest").agg(F.min("doc_id").alias("id")))
     of_row = linked.select("doc_id", "digest").join(classes, "digest")
@@ -243,20 +264,26 @@ def similar_documents(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, perce
     same = cut_lineage(of_row.join(several, "doc_id", "left_semi").select(
         F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b"))
 
-    shown = cut_lineage(shown_members(linked, classes))
+    shown = stored(shown_members(linked, classes), folder, "shown")
     ids = cut_lineage(enough(shown, percent))
     size = ids.count()
-    sets = shared_sets(docs, ids, shingle_words, folder)
-    shown = cut_lineage(looked_up(shown, ids, ["id"], "left_semi", size))
-    links = cut_small(confirmed(sets, cut_small(to_centres(shown), size), percent).unionAll(same), size)
+    sets = shared_sets(docs, ids, size, shingle_words, folder)
+    shown = stored(looked_up(shown, ids, ["id"], "left_semi", size), folder, "alive")
+
+    def linked_by(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = stored(pairs, folder, name)
+        return cut_small(confirmed(sets, pairs, pairs.count(), percent), size)
+
+    links = cut_small(linked_by(to_centres(shown), "centres").unionAll(same), size)
     labels = components(links)
 
     placed = in_components(shown, labels)
     pool = cut_lineage(enough(placed.join(open_keys(placed, "s"), "s"), percent))
-    rows = cut_lineage(ordered(sets.join(pool, "id", "left_semi"), percent, subset))
-    met = cut_lineage(meetings(rows, boundary(rows, subset), percent, subset))
-    for pairs in (one_partner_each, lambda placed: across(placed, percent)):
-        more = cut_small(confirmed(sets, pairs(cut_lineage(in_components(met, labels))), percent), size)
+    rows = stored(ordered(looked_up(sets, pool, ["id"], "left_semi", size), percent, subset), folder, "ordered")
+    met = stored(meetings(rows, boundary(rows, subset), percent, subset), folder, "met")
+    met = stored(met.join(met.groupBy("s").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "s", "left_semi"), folder, "shared")
+    for name, pairs in ("one", one_partner_each), ("across", lambda entries: across(entries, percent)):
+        more = linked_by(pairs(in_components(met, labels)), name)
         if not more.isEmpty():
             links = cut_small(links.unionAll(more), size)
             labels = components(links)
