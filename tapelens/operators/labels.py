@@ -158,8 +158,9 @@ def controls_with_reuse(tables, positives: DataFrame,
                 F.when(F.col("has"), F.col("sector")).otherwise(anyone).alias("pool"), "log_cap")
     )
     wanted = cut_lineage(wanted)
+    # the whole pool takes part only where a sector without candidates asks for it
     pool = candidates.withColumn("pool", F.explode(F.array("sector", F.lit(anyone)))).select(
-        "pool", "symbol", "log_cap")
+        "pool", "symbol", "log_cap").join(wanted.select("pool").distinct(), "pool", "left_semi")
     near = _nearest(wanted.where("log_cap is not null"), pool.where("log_cap is not null"),
                     ["pool"], "log_cap", count).select("positive", "match", "distance")
     # Infinitely far: by symbol, only where fewer than `count` measured ones are left.
@@ -191,7 +192,8 @@ def controls_unique(tables, positives: DataFrame, per_positive: int = 2, as_of=N
 
     Choosing without replacement depends on the order of the positives (`rank`), so a
     sub-sector is one sequential pass. It holds one row per listed security of that
-    sub-sector, and the sub-sectors run in parallel.
+    sub-sector, and the sub-sectors run in parallel; a listing is thousands of rows at any size
+    of the trade tables.
     """
     cap = F.col("market_cap").cast("double").alias("cap")
     listed = tables["company_profile"]
@@ -220,8 +222,10 @@ def matched_pairs(tables, as_of=None, size: int = 8,
                   tolerance: float = K.FLOAT_TOLERANCE) -> DataFrame:
     """Positives (newest first) each paired with one never-suspended symbol of similar float.
 
-    At most `size` controls are ever taken, so only the `size` nearest of each positive can
-    matter. That short list is exact; the ordered pass over it sees `size` rows per positive.
+    Neighbours meet by equality in float buckets as wide as the tolerance, so nothing goes through
+    one group. At most `size` controls are ever taken, so only the `size` nearest of each
+    positive can matter; every pair is then one aggregation over those short lists, for the
+    newest positive behind the last one that still has a control, and the driver holds `size` rows.
     """
     floats = tables["free_float"].where("free_float_pct is not null")
     suspended = tables["suspensions"]
@@ -230,58 +234,74 @@ def matched_pairs(tables, as_of=None, size: int = 8,
         suspended = pit.pit_filter(suspended, "suspensions", as_of)
     newest = floats.groupBy("symbol").agg(
         F.max_by("free_float_pct", "as_of").alias("free_float"))
+    bucket = F.floor(F.col("free_float") / tolerance)
     pool = newest.join(suspended.select("symbol").distinct(), "symbol", "left_anti").select(
-        F.lit(1).alias("all"), "symbol", "free_float")
-    ranked = positives_ranked(tables, as_of).join(newest, "symbol").select(
-        F.lit(1).alias("all"), F.col("symbol").alias("positive"), "events", "latest",
-        "free_float")
-    short = _nearest(ranked, pool, ["all"], "free_float", size, tolerance)
-
-    def pair(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["latest", "positive", "match_rank"],
-                                  ascending=[False, True, True])
-        used, rows = set(), []
-        for _, options in group.groupby(["latest", "positive"], sort=False):
-            if len(rows) == size:
-                break
-            open_ = options[~options["match"].isin(used)]
-            if len(open_):
-                first = open_.iloc[0]
-                used.add(first["match"])
-                rows.append([len(rows) + 1, first["positive"], first["events"], first["latest"],
-                             first["free_float"], first["match"], first["match_value"],
-                             first["distance"]])
-        return pd.DataFrame(rows, columns=[
-            "pair", "positive", "events", "latest", "positive_float", "control",
-            "control_float", "float_gap"])
-
-    return short.groupBy("all").applyInPandas(
-        pair, "pair int, positive string, events long, latest date, positive_float double, "
-              "control string, control_float double, float_gap double")
+        bucket.alias("bucket"), F.col("symbol").alias("control"),
+        F.col("free_float").alias("control_float"))
+    wanted = positives_ranked(tables, as_of).join(newest, "symbol").select(
+        F.col("symbol").alias("positive"), "events", "latest",
+        F.col("free_float").alias("positive_float"),
+        F.explode(F.transform(F.array(*map(F.lit, (-2, -1, 0, 1, 2))), lambda d: bucket + d)).alias("bucket"))
+    near = wanted.join(pool, "bucket").withColumn(
+        "float_gap", F.abs(F.col("control_float") - F.col("positive_float"))).where(
+        F.col("float_gap") <= tolerance)
+    nearest = W.partitionBy("positive").orderBy("float_gap", "control")
+    short = cut_lineage(near.withColumn("place", F.row_number().over(nearest)).where(
+        F.col("place") <= size).drop("bucket"))
+    columns = ["positive", "events", "latest", "positive_float", "control", "control_float", "float_gap"]
+    newest_first = F.struct((-F.unix_date("latest")).alias("age"), "positive", "place", F.struct(*columns).alias("row"))
+    pairs, behind = [], short
+    while len(pairs) < size:
+        found = behind.agg(F.min(newest_first).alias("best")).first().best
+        if found is None:
+            break
+        pairs.append((len(pairs) + 1, *found.row))
+        later = (-F.unix_date("latest") > found.age) | (
+            (-F.unix_date("latest") == found.age) & (F.col("positive") > found.positive))
+        behind = short.where(later & ~F.col("control").isin([row[5] for row in pairs]))
+    return tables["suspensions"].sparkSession.createDataFrame(
+        pairs, "pair int, positive string, events long, latest date, positive_float double, "
+               "control string, control_float double, float_gap double")
 
 
 # -- universes ----------------------------------------------------------------------------------------
+def global_positions(rows: DataFrame, *order: str) -> DataFrame:
+    """`rows` with `position` from 1 in the whole order, without sorting in one task.
+
+    Ranges are numbered by themselves and shifted by the sizes of the earlier ones; the driver
+    holds one number per range.
+    """
+    ranged = cut_lineage(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = {r["_range"]: r["n"] for r in ranged.groupBy("_range").agg(F.count("*").alias("n")).collect()}
+    starts = [sum(n for other, n in sizes.items() if other < at) for at in range(max(sizes, default=0) + 1)]
+    shift = F.get(F.array(*map(F.lit, starts)), F.col("_range"))
+    inside = W.partitionBy("_range").orderBy(*order)
+    return ranged.withColumn("position", (F.row_number().over(inside) + shift).cast("int")).drop("_range")
+
+
 def ordered_union(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Union of two ranked symbol lists (symbol, rank): all of the first, then the second."""
+    """Union of two symbol lists (symbol, rank): all of the first by rank, then the second."""
     both = first.select("symbol", F.lit(0).alias("list"), "rank").unionByName(
         second.select("symbol", F.lit(1).alias("list"), "rank"))
     best = both.groupBy("symbol").agg(F.min(F.struct("list", "rank")).alias("place"))
-    return best.select("symbol", F.row_number().over(
-        W.orderBy("place", "symbol")).alias("position"))
+    return global_positions(best.select("place.*", "symbol"), "list", "rank", "symbol").select("symbol", "position")
 
 
 def universe_by_frequency(tables, as_of=None, size: int = 80) -> DataFrame:
-    """Ever-suspended symbols first, then the most traded ones, `size` in all."""
+    """Ever-suspended symbols first, then the most traded ones, `size` in all.
+
+    Neither list can give more than `size` symbols, so each is cut before it is numbered.
+    """
     trades, suspended = tables["daily_transaction"], tables["suspensions"]
     if as_of is not None:
         trades = pit.pit_filter(trades, "daily_transaction", as_of)
         suspended = pit.pit_filter(suspended, "suspensions", as_of)
-    frequent = trades.groupBy("symbol").agg(F.count("*").alias("n")).withColumn(
-        "rank", F.row_number().over(W.orderBy(F.desc("n"), "symbol"))).where(
-        F.col("rank") <= size)
-    required = suspended.groupBy("symbol").agg(F.count("*").alias("n")).withColumn(
-        "rank", F.row_number().over(W.orderBy("symbol")))
-    return ordered_union(required, frequent).where(F.col("position") <= size)
+    frequent = trades.groupBy("symbol").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "symbol").limit(size)
+    required = suspended.select("symbol").distinct().orderBy("symbol").limit(size)
+    return ordered_union(
+        required.select("symbol", F.struct(F.lit(0).cast("long").alias("n"), "symbol").alias("rank")),
+        frequent.select("symbol", F.struct((-F.col("n")).alias("n"), "symbol").alias("rank")),
+    ).where(F.col("position") <= size)
 
 
 def evaluation_universe(tables, min_sessions: int = K.MIN_PRICE_ROWS) -> DataFrame:

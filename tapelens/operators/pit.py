@@ -108,12 +108,15 @@ def between_sessions(df: DataFrame, calendar: DataFrame, on: str = "trade_date")
 
 
 # -- prices -----------------------------------------------------------------------------------
-def price_history(tables) -> DataFrame:
-    """One close per (symbol, date): daily_transaction first, daily_close fills the holes."""
+def price_history(tables, read=None) -> DataFrame:
+    """One close per (symbol, date): daily_transaction first, daily_close fills the holes.
+
+    `read` replaces the plain read of a table, as `window_reader` does.
+    """
     keys = ["symbol", "trade_date"]
     parts = None
     for rank, name in enumerate(CALENDAR_TABLES):
-        part = tables[name].where("close_price is not null").select(
+        part = (read or tables.__getitem__)(name).where("close_price is not null").select(
             *keys, F.struct(F.lit(rank).alias("rank"), "close_price").alias("candidate"))
         parts = part if parts is None else parts.unionByName(part)
     return parts.groupBy(*keys).agg(F.min("candidate")["close_price"].alias("close_price"))
@@ -160,6 +163,33 @@ def window_join(grid: DataFrame, facts: DataFrame, *, by: list[str], low: str, h
     return joined.where(F.col(position).between(F.col(low), F.col(high))).drop("_bin")
 
 
+def window_reader(tables, ended: DataFrame, calendar: DataFrame, sessions: int, sparse: bool = False):
+    """A read of dated tables cut down to the windows of a grid: name -> DataFrame.
+
+    `ended` is the grid with `end_idx`. Only days from the first session of the earliest window to
+    the last as-of date are read: the bounds are scalar subqueries, known before the scan
+    starts, so they choose the folders of a stored table and reach the file scan as filters. For a
+    `sparse` grid (few dates per symbol), rows of sessions that lie in no bin of a window are
+    left out as well, by a semi-join on (symbol, bin), before anything is shuffled by symbol.
+    """
+    earliest = ended.agg(F.min("end_idx")).scalar()
+    first = calendar.where(F.col("session_idx") > earliest - sessions).agg(F.min("trade_date")).scalar()
+    last = ended.agg(F.max("as_of")).scalar()
+    bins = F.sequence(F.floor((F.col("end_idx") - sessions + 1) / sessions), F.floor(F.col("end_idx") / sessions))
+
+    def read(name: str) -> DataFrame:
+        stored = getattr(tables, "read_between", None)
+        rows = stored(name, first, last) if stored else tables[name]
+        rows = rows.where(F.col(TABLES[name].cut).between(first, last))
+        if not sparse:
+            return rows
+        wanted = ended.where("end_idx is not null").select("symbol", F.explode(bins).alias("_bin")).distinct()
+        placed = with_session(rows, calendar).withColumn("_bin", F.floor(F.col("session_idx") / sessions))
+        return placed.join(wanted, ["symbol", "_bin"], "left_semi").drop("_bin", "session_idx")
+
+    return read
+
+
 # -- grids --------------------------------------------------------------------------------------
 def as_of_grid(symbols: DataFrame, dates: DataFrame) -> DataFrame:
     """Every symbol at every as-of date: the input every probe takes.

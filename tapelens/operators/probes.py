@@ -22,6 +22,10 @@ from tapelens.functions import scalar as S
 from tapelens.operators import pit
 
 
+#: The longest window of the probes that share the panel.
+LONGEST = max(K.VAS_LOOKBACK, K.PFD_SESSIONS, K.FRD_SESSIONS)
+
+
 # -- shared pieces ----------------------------------------------------------------------------
 def array_median(values: Column) -> Column:
     """Exact median of a short array."""
@@ -62,20 +66,22 @@ def result(df: DataFrame, checks: list[tuple[Column, str | Column]], score: Colu
 
 
 def session_panel(tables, grid: DataFrame, calendar: DataFrame,
-                  sources: tuple[str, ...] = ("tx", "price", "flow")) -> DataFrame:
+                  sources: tuple[str, ...] = ("tx", "price", "flow"), sessions: int = LONGEST,
+                  sparse: bool = False) -> DataFrame:
     """Rows per (symbol, session) with what the tables say, plus the grid rows as markers.
 
-    Every row of the tables that lies on a session is in the panel, whatever the grid.
+    Rows that no window of `sessions` sessions of the grid can hold are not read.
     """
     ended = pit.with_end_session(grid, calendar)
+    read = pit.window_reader(tables, ended, calendar, sessions, sparse)
     parts = []
     if "tx" in sources:
-        parts.append(tables["daily_transaction"].select(
+        parts.append(read("daily_transaction").select(
             "symbol", "trade_date", F.col("close_price").alias("tx_close"), "volume"))
     if "price" in sources:
-        parts.append(pit.price_history(tables))
+        parts.append(pit.price_history(tables, read))
     if "flow" in sources:
-        parts.append(tables["foreign_flow"].select(
+        parts.append(read("foreign_flow").select(
             "symbol", "trade_date", F.col("net_value").alias("net_foreign")))
     facts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     values = [c for c in facts.columns if c not in ("symbol", "trade_date")]
@@ -132,7 +138,7 @@ def _volume_score(panel: DataFrame) -> DataFrame:
 
 def volume_anomaly(tables, grid: DataFrame) -> DataFrame:
     calendar = pit.trading_calendar(tables)
-    panel = session_panel(tables, grid, calendar, ("tx",)).withColumns(_volume_columns())
+    panel = session_panel(tables, grid, calendar, ("tx",), K.VAS_LOOKBACK).withColumns(_volume_columns())
     return _volume_score(_on_grid(panel))
 
 
@@ -189,7 +195,7 @@ def _divergence_score(tables, panel: DataFrame) -> DataFrame:
 
 def price_fundamental(tables, grid: DataFrame) -> DataFrame:
     calendar = pit.trading_calendar(tables)
-    panel = session_panel(tables, grid, calendar, ("price",)).withColumns(_price_columns())
+    panel = session_panel(tables, grid, calendar, ("price",), K.PFD_SESSIONS).withColumns(_price_columns())
     kept = _on_grid(panel).select("symbol", "as_of", *_price_columns())
     return _divergence_score(tables, kept)
 
@@ -216,10 +222,10 @@ def with_flow_between_sessions(tables, grid: DataFrame, calendar: DataFrame,
 
     Such rows are rare; they are joined to their windows by themselves.
     """
-    rows = tables["foreign_flow"].where("net_value is not null").select(
-        "symbol", "trade_date", "net_value")
     ended = pit.with_end_session(grid.select("symbol", "as_of"), calendar).withColumn(
         "start_idx", F.col("end_idx") - (K.FRD_SESSIONS - 1))
+    rows = pit.window_reader(tables, ended, calendar, K.FRD_SESSIONS)("foreign_flow").where(
+        "net_value is not null").select("symbol", "trade_date", "net_value")
     inside = pit.window_join(
         ended, pit.between_sessions(rows, calendar), by=["symbol"], low="start_idx",
         high="end_idx", position="session_idx", width=K.FRD_SESSIONS).where(
@@ -261,7 +267,7 @@ def _flow_score(panel: DataFrame) -> DataFrame:
 def foreign_flow(tables, grid: DataFrame) -> DataFrame:
     calendar = pit.trading_calendar(tables)
     panel = _on_grid(session_panel(
-        tables, grid, calendar, ("tx", "flow")).withColumns(_flow_columns()))
+        tables, grid, calendar, ("tx", "flow"), K.FRD_SESSIONS).withColumns(_flow_columns()))
     panel = panel.select("symbol", "as_of", *_flow_columns())
     return _flow_score(with_flow_between_sessions(tables, grid, calendar, panel))
 
@@ -272,7 +278,8 @@ def broker_net(tables, grid: DataFrame) -> DataFrame:
     calendar = pit.trading_calendar(tables)
     ended = pit.with_end_session(grid, calendar).withColumn(
         "start_idx", F.col("end_idx") - (K.BCI_SESSIONS - 1))
-    rows = tables["broker_summary"].select("symbol", "trade_date", "broker_code", "net_value")
+    rows = pit.window_reader(tables, ended, calendar, K.BCI_SESSIONS)("broker_summary").select(
+        "symbol", "trade_date", "broker_code", "net_value")
     facts = pit.with_session(rows, calendar).unionByName(pit.between_sessions(rows, calendar))
     inside = pit.window_join(
         ended, facts, by=["symbol"], low="start_idx", high="end_idx", position="session_idx",
@@ -455,11 +462,15 @@ PROBES = {
 }
 
 
-def run_all(tables, grid: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """One row per grid point with struct columns BCI ... SSS (sub_score, reason, numbers)."""
+def run_all(tables, grid: DataFrame, exclude: tuple[str, ...] = (), sparse: bool = False) -> DataFrame:
+    """One row per grid point with struct columns BCI ... SSS (sub_score, reason, numbers).
+
+    The results of the probes come together by one union and one aggregation on the grid point.
+    `sparse` says that the grid has few dates per symbol (see `pit.window_reader`).
+    """
     calendar = pit.trading_calendar(tables)
     columns = {**_volume_columns(), **_price_columns(), **_flow_columns()}
-    panel = _on_grid(session_panel(tables, grid, calendar).withColumns(columns))
+    panel = _on_grid(session_panel(tables, grid, calendar, sparse=sparse).withColumns(columns))
     panel = panel.select("symbol", "as_of", *columns)
     flow = with_flow_between_sessions(
         tables, grid, calendar, panel.select("symbol", "as_of", *_flow_columns()))
@@ -471,17 +482,15 @@ def run_all(tables, grid: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame
         "FRD": _flow_score(flow),
         "SSS": structural(tables, grid),
     }
-    out = grid.select("symbol", "as_of")
-    for code, part in parts.items():
-        if code in exclude:
-            nothing = F.struct(F.lit(None).cast("double").alias("sub_score"),
-                               F.lit("excluded").alias("unavailable_reason"))
-            out = out.withColumn(code, nothing)
-            continue
-        packed = part.select("symbol", "as_of", F.struct(
+    nothing = F.struct(F.lit(None).cast("double").alias("sub_score"), F.lit("excluded").alias("unavailable_reason"))
+    packed = [grid.select("symbol", "as_of")] + [
+        part.select("symbol", "as_of", F.struct(
             *[c for c in part.columns if c not in ("symbol", "as_of")]).alias(code))
-        out = out.join(packed, ["symbol", "as_of"], "left")
-    return out
+        for code, part in parts.items() if code not in exclude]
+    met = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), packed).groupBy("symbol", "as_of").agg(
+        *[F.first(code, ignorenulls=True).alias(code) for code in parts if code not in exclude])
+    return met.select("symbol", "as_of", *[
+        nothing.alias(code) if code in exclude else F.col(code) for code in parts])
 
 
 def score_table(scored: DataFrame) -> DataFrame:

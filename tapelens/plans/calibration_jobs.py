@@ -213,12 +213,61 @@ def ranked_positives(t):
         pit.W.orderBy(F.desc("latest"), "symbol")))
 
 
-@query("c7_matched_controls_unique")
+@query("c7_matched_controls_unique", f"""
+    select * from (with recursive profile as (
+        select symbol, sub_sector as sector, cast(market_cap as double) as cap from company_profile
+        where market_cap is not null and sub_sector is not null),
+      wanted as (
+        select p.*, row_number() over (partition by sector order by latest desc, p.symbol) as k
+        from profile p join (
+          select symbol, max(start_date) as latest from suspensions
+          where {C.any_word("coalesce(reason, '')", K.POSITIVE_REASONS)} group by 1) e
+          on e.symbol = p.symbol),
+      free as (
+        select sector, list({{'symbol': symbol, 'cap': cap}}) as pool from profile
+        where symbol not in (select symbol from wanted) group by 1),
+      chosen as (
+        select sector, cast(0 as bigint) as k, cast('' as varchar) as positive,
+               cast([] as struct(gap double, symbol varchar)[]) as taken,
+               cast([] as varchar[]) as used from free
+        union all
+        select sector, k, positive, taken, list_concat(used, [x.symbol for x in taken]) from (
+          select c.sector, w.k, w.symbol as positive, c.used,
+                 list_sort([{{'gap': abs(x.cap - w.cap), 'symbol': x.symbol}} for x in f.pool
+                            if not list_contains(c.used, x.symbol)])[1:2] as taken
+          from chosen c join wanted w on w.sector = c.sector and w.k = c.k + 1
+          join free f on f.sector = c.sector) s)
+    select positive, x.symbol as symbol, x.gap as cap_gap
+    from (select positive, unnest(taken) as x from chosen) t) y""")
 def unique_controls(t):
     return labels.controls_unique(t, ranked_positives(t))
 
 
-@query("c8_matched_pairs_float")
+@query("c8_matched_pairs_float", f"""
+    select * from (with recursive newest as (
+        select symbol, arg_max(free_float_pct, as_of) as ff from free_float
+        where free_float_pct is not null group by 1),
+      pool as (select * from newest where symbol not in (select symbol from suspensions)),
+      wanted as (
+        select e.*, n.ff, row_number() over (order by latest desc, e.symbol) as k from (
+          select symbol, count(*) as events, max(start_date) as latest from suspensions
+          where {C.any_word("coalesce(reason, '')", K.POSITIVE_REASONS)} group by 1) e
+        join newest n on n.symbol = e.symbol),
+      options as (
+        select w.k, list_sort(list({{'gap': abs(p.ff - w.ff), 'symbol': p.symbol, 'ff': p.ff}})) as near
+        from wanted w join pool p on abs(p.ff - w.ff) <= {K.FLOAT_TOLERANCE} group by 1),
+      walk as (
+        select cast(0 as bigint) as k, cast([] as varchar[]) as used,
+               cast(null as struct(gap double, symbol varchar, ff double)) as took
+        union all
+        select k, case when took is null then used else list_append(used, took.symbol) end, took from (
+          select w.k, g.used, case when len(g.used) < 8 then
+                 [x for x in coalesce(o.near, []) if not list_contains(g.used, x.symbol)][1] end as took
+          from walk g join wanted w on w.k = g.k + 1 left join options o on o.k = w.k) s)
+    select cast(row_number() over (order by g.k) as int) as pair, w.symbol as positive, w.events,
+           w.latest, w.ff as positive_float, g.took.symbol as control, g.took.ff as control_float,
+           g.took.gap as float_gap
+    from walk g join wanted w on w.k = g.k where g.took is not null) y""")
 def float_pairs(t):
     return labels.matched_pairs(t)
 
@@ -247,8 +296,7 @@ def by_frequency(t):
             where symbol not in (select symbol from filings)) p) x""")
 def union_order(t):
     def ranked_list(name):
-        return t[name].select("symbol").distinct().withColumn(
-            "rank", F.row_number().over(pit.W.orderBy("symbol")))
+        return t[name].select("symbol").distinct().withColumn("rank", F.col("symbol"))
 
     return labels.ordered_union(ranked_list("filings"), ranked_list("company_profile"))
 

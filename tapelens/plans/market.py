@@ -24,6 +24,7 @@ def code(n: str) -> str:
 
 
 _BRAND = "cast(substr(p_brand, 7) as int)"
+_MONTH = "date_trunc('month', cast(l_shipdate as date))"
 _MONEY = "cast(l_extendedprice as decimal(18,2))"
 _QTY = "cast(l_quantity as decimal(18,2))"
 
@@ -81,7 +82,15 @@ VIEWS: dict[str, str] = {
                         when l_tax > 0.005 then 'Aktivitas transaksi di luar kebiasaan' end)
                    as reason
         from lineitem join part on l_partkey = p_partkey
-        where l_returnflag = 'R' and l_quantity >= 50 and {_BRAND} <= 10
+        join (select brand, month
+              from (select {_BRAND} as brand, {_MONTH} as month, l_returnflag as flag,
+                           l_quantity as quantity,
+                           row_number() over (partition by {_BRAND}, {_MONTH}
+                               order by l_discount desc, l_orderkey, l_linenumber) as place
+                    from lineitem join part on l_partkey = p_partkey) x
+              where place = 1 and flag = 'R' and quantity >= 48) t
+          on t.brand = {_BRAND} and t.month = {_MONTH}
+        where l_returnflag = 'R' and l_quantity >= 48
         group by 1, 2, cast(l_shipdate as date)""",
     "filings": f"""
         select distinct cast(l_shipdate as date) as filing_date, {code(_BRAND)} as symbol,

@@ -94,6 +94,13 @@ class Warehouse:
         df = df.select(*spec.columns)
         return df if where is None else df.where(where)
 
+    def read_between(self, table: str, first: Column, last: Column) -> DataFrame:
+        """The table from the folders that hold the days `first` to `last`."""
+        spec, df = TABLES[table], self._stored(table)
+        if not sliced(spec):
+            df = df.where(F.col(PART).between(F.date_format(first, "yyyy-MM"), F.date_format(last, "yyyy-MM")))
+        return df.select(*spec.columns)
+
     def __getitem__(self, table: str) -> DataFrame:
         return self.read(table)
 
