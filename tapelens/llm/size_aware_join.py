@@ -176,16 +176,21 @@ def _bucket(n: Column) -> Column:
 
 
 def boundary(rows: DataFrame, k: int) -> int:
-    """The size bucket up to which subsets cost less than lists; at most 64 * BUCKETS sums come here."""
-    lists = rows.where("single").groupBy("s").agg((F.count(F.lit(1)) - 1).alias("others"))
-    scans = rows.where("single").join(lists, "s").groupBy(_bucket(F.col("n")).alias("b")).agg(F.sum("others").alias("scan"))
-    per_set = rows.groupBy("id", "set_", "n").agg(F.count(F.lit(1)).cast("double").alias("p"))
+    """The size bucket up to which subsets cost less than lists; at most 64 * BUCKETS sums come here.
+
+    Lists cost an entry per member and every other entry that it meets. Subsets cost an entry for each
+    and, at most, what their rarer members meet in the lists.
+    """
+    lists = rows.groupBy("s").agg((F.count(F.lit(1)) - 1).cast("double").alias("others"))
+    per_set = rows.join(lists, "s").groupBy("id", "set_", "n").agg(
+        F.count(F.lit(1)).cast("double").alias("p"), F.sum("others").alias("met"),
+        F.sum(F.col("others") * F.col("place")).alias("placed"),
+        F.sum(F.when(F.col("single"), F.col("others") + 1)).alias("scan"))
     ways = F.lit(1.0)
     for i in range(k):
         ways = ways * (F.col("p") - i) / (i + 1)
-    subsets = per_set.groupBy(_bucket(F.col("n")).alias("b")).agg(F.sum(ways).alias("subsets"))
-    costs = sorted((r.b, r.subsets or 0.0, float(r.scan or 0))
-                   for r in subsets.join(scans, "b", "full").collect())
+    costs = sorted((r.b, r.subsets, r.scan or 0.0) for r in per_set.groupBy(_bucket(F.col("n")).alias("b")).agg(
+        F.sum(ways + F.col("p") * F.col("met") - F.col("placed")).alias("subsets"), F.sum("scan").alias("scan")).collect())
     best, total = -1, sum(scan for _, _, scan in costs)
     least = total
     for b, made, scan in costs:
@@ -225,12 +230,17 @@ def to_centres(met: DataFrame) -> DataFrame:
 
 
 def across(met: DataFrame, percent: int) -> DataFrame:
-    """Pairs in different components that meet and whose sizes and places allow the overlap."""
+    """Pairs in different components that meet and whose sizes and places allow the overlap.
+
+    A pair is taken where its first shared members are: none lies before them, so the rest after
+    the last of them bounds the overlap.
+    """
     open_ = met.join(open_keys(met, "s"), "s")
     few = open_.where("c <> largest").select("s", *[F.col(name).alias(f"{name}_a") for name in (
         "id", "n", "c", "m", "place", "large")])
     need = F.ceil(percent * (F.col("n") + F.col("n_a")) / (100 + percent))
-    most = F.least("place", "place_a") + F.least(F.col("m") - F.col("place"), F.col("m_a") - F.col("place_a"))
+    most = F.when(F.col("listed"), 1).otherwise(SUBSET) + F.least(
+        F.col("m") - F.col("place"), F.col("m_a") - F.col("place_a"))
     pairs = open_.join(few, "s").where(
         (F.col("c") != F.col("c_a")) & ((F.col("c") == F.col("largest")) | (F.col("id") < F.col("id_a")))
         & (~F.col("listed") | F.col("large") | F.col("large_a")) & (F.least("m", "m_a") >= need) & (most >= need))
