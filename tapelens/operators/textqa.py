@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,6 +78,41 @@ def unsupported_numbers(narrative: Column, allowed: Column) -> Column:
         first_of_each))
 
 
+def number_rows(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """`keys`, token, magnitude and unit, one row per number: parsed after the explode."""
+    units = F.create_map(*[F.lit(x) for kv in K.UNIT_NAMES.items() for x in kv])
+    raw = texts.select(*keys, F.explode(F.regexp_extract_all(_text(F.col(text)), F.lit(NUMBER), F.lit(0))).alias("_raw"))
+    digits = raw.withColumn("_digits", F.regexp_extract("_raw", r"^[\d.,]+", 0))
+    unit = F.lower(F.trim(F.substr(F.col("_raw"), F.length("_digits") + 1)))
+    value = F.translate(F.translate("_digits", ".", ""), ",", ".").cast("double")
+    return digits.select(*keys, F.trim("_raw").alias("token"), F.round(F.abs(value), 6).alias("magnitude"),
+                         F.coalesce(units[unit], F.lit("")).alias("unit"))
+
+
+def allowed_rows(entries: DataFrame, keys: list[str]) -> DataFrame:
+    """`keys`, magnitude, unit: what `allowed_numbers` says, as a relation.
+
+    `entries` has one row per evidence entry with string columns display, label and value.
+    """
+    out = [*keys, "magnitude", "unit"]
+    value = _text(F.col("value"))
+    none, number = F.lower(value).isin("true", "false", ""), value.try_cast("double")
+    size = F.round(F.abs(number), 6)
+    shown = number_rows(entries, [*keys, "value"], "display")
+    parts = [
+        shown.select(*out), number_rows(entries, keys, "label").select(*out),
+        shown.where(~none & number.isNotNull()).select(*keys, size.alias("magnitude"), "unit"),
+        entries.where(~none & number.isNotNull()).select(*keys, size.alias("magnitude"), F.lit("").alias("unit")),
+        number_rows(entries.where(~none & number.isNull()), keys, "value").select(*out)]
+    return reduce(lambda a, b: a.unionAll(b), parts).distinct()
+
+
+def unsupported_rows(found: DataFrame, allowed: DataFrame, keys: list[str]) -> DataFrame:
+    """`keys`, magnitude, unit of numbers without a source: one anti join for a whole corpus."""
+    each = found.select(*keys, "magnitude", "unit").distinct()
+    return each.join(allowed, [c for c in each.columns if c in allowed.columns], "left_anti")
+
+
 # -- names --------------------------------------------------------------------------------------
 def unsupported_tickers(narrative: Column, symbol: Column) -> Column:
     """Four-capital words that are neither the subject nor a known abbreviation."""
@@ -96,17 +132,60 @@ def _quote(before: Column, hit: Column, after: Column) -> Column:
                     F.when(F.length(after) > reach, "…").otherwise(""))
 
 
+def needed_words(pattern: str) -> list[str]:
+    """Lower-case runs of letters one of which every match of `pattern` holds; none if unknown."""
+
+    def needed(sequence) -> list[str]:
+        found, run = [], ""
+        for kind, value in [*sequence, ("END", None)]:
+            letter = chr(value).lower() if str(kind) == "LITERAL" else ""
+            if letter.isascii() and letter.isalpha():
+                run += letter
+                continue
+            found, run = [*found, [run]], ""
+            if str(kind) == "SUBPATTERN":
+                found.append(needed(value[3]))
+            elif str(kind) == "BRANCH":
+                ways = [needed(way) for way in value[1]]
+                found.append([word for way in ways for word in way] if all(ways) else [])
+        return max((words for words in found if all(words)), key=lambda words: min(map(len, words), default=0), default=[])
+
+    return needed(re._parser.parse(pattern))
+
+
+#: Letters that a pattern without regard to case takes for ASCII ones, though lower() does not.
+_FOLDED = "\u0130\u0131\u017f\u212a"
+
+
+def _may_hold(text: Column, pattern: str) -> Column:
+    """A cheap test before the pattern itself: plain searches for words it needs."""
+    words = needed_words(pattern)
+    if not words:
+        return F.lit(True)
+    return reduce(lambda a, b: a | b, [F.contains(F.lower(text), F.lit(word)) for word in words] + [
+        F.contains(text, F.lit(letter)) for letter in _FOLDED])
+
+
 def _hits(text: Column, pattern: str) -> Column:
-    """array<struct<before, hit, after>> with one character more than a quote needs."""
-    # The look-ahead comes first: the costly look-behind only runs where there is a hit.
-    far, inner = K.QUOTE_REACH + 1, re.compile(pattern).groups
-    full = (rf"(?isuU)(?={pattern})(?<=(\A.{{0,{far - 1}}}|.{{{far}}}))({pattern})"
-            rf"(?=(.{{0,{far}}}))")
-    groups = [inner + 1, inner + 2, 2 * inner + 3]
-    parts = [F.regexp_extract_all(text, F.lit(full), F.lit(g)) for g in groups]
-    zipped = F.arrays_zip(*[p.alias(n) for p, n in zip(parts, ("before", "hit", "after"))])
-    gated = F.when(text.rlike(f"(?iuU){pattern}"), F.transform(zipped, lambda z: F.struct(
-        z["before"].alias("before"), z["hit"].alias("hit"), z["after"].alias("after"))))
+    """array<struct<before, hit, after>> with one character more than a quote needs.
+
+    The pattern runs twice, for the hits and for the pieces between; what stands around a hit is
+    put together from its neighbours, each of which has at least one character.
+    """
+    far, full = K.QUOTE_REACH + 1, f"(?isuU)(?:{pattern})"
+    found = F.regexp_extract_all(text, F.lit(full), F.lit(0))
+
+    def around(hits: Column) -> Column:
+        return S.let(F.split(text, full, -1), lambda pieces: S.let(
+            F.transform(F.arrays_zip(pieces.alias("piece"), hits.alias("hit")),
+                        lambda x: F.concat(x["piece"], F.coalesce(x["hit"], F.lit("")))),
+            lambda both: F.transform(hits, lambda hit, i: F.struct(
+                F.right(F.concat(F.array_join(F.slice(both, F.greatest(i - far, F.lit(0)) + 1, F.least(i, F.lit(far))), ""),
+                                 F.get(pieces, i)), F.lit(far)).alias("before"),
+                hit.alias("hit"),
+                F.left(F.array_join(F.slice(both, i + 2, F.lit(far)), ""), F.lit(far)).alias("after")))))
+
+    gated = F.when(_may_hold(text, pattern) & text.rlike(full), S.let(found, around))
     return F.coalesce(gated, F.array().cast("array<struct<before:string,hit:string,after:string>>"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,15 +63,14 @@ def statement_evidence() -> F.Column:
 @query("t1_number_tokens", """
     select doc_id, magnitude, unit, count(*) as n from statement_tokens group by 1, 2, 3""")
 def tokens(t):
-    found = t["statements"].select("doc_id", F.inline(textqa.number_tokens(F.col("narrative"))))
-    return found.groupBy("doc_id", "key.magnitude", "key.unit").agg(F.count("*").alias("n"))
+    found = textqa.number_rows(t["statements"], ["doc_id"], "narrative")
+    return found.groupBy("doc_id", "magnitude", "unit").agg(F.count("*").alias("n"))
 
 
 @query("t2_allowed_numbers", "select doc_id, magnitude, unit from allowed")
 def allowed(t):
-    keys = t["statements"].select(
-        "doc_id", F.explode(textqa.allowed_numbers(statement_evidence())).alias("k"))
-    return keys.select("doc_id", "k.magnitude", "k.unit")
+    entries = t["statements"].select("doc_id", F.inline(statement_evidence()))
+    return textqa.allowed_rows(entries, ["doc_id"])
 
 
 @query("t3_unsupported_numbers", """
@@ -78,9 +79,8 @@ def allowed(t):
       on a.doc_id = t.doc_id and a.magnitude = t.magnitude and a.unit = t.unit
     where a.doc_id is null group by 1""")
 def unsupported(t):
-    found = textqa.unsupported_numbers(
-        F.col("narrative"), textqa.allowed_numbers(statement_evidence()))
-    return t["statements"].select("doc_id", F.size(found).cast("long").alias("n")).where("n > 0")
+    found = textqa.number_rows(t["statements"], ["doc_id"], "narrative")
+    return textqa.unsupported_rows(found, allowed(t), ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 # The same checks over whole texts: statements, documents and every turn of the conversations.
@@ -90,8 +90,8 @@ C.CTES["text_tokens"] = tokens_cte("whole_texts", "text", ", ".join(TEXT_KEY))
 
 def text_tokens(t) -> DataFrame:
     """One row per key and text, with the number of times it stands there."""
-    found = t["whole_texts"].select(*TEXT_KEY, F.inline(textqa.number_tokens(F.col("text"))))
-    return found.groupBy(*TEXT_KEY, "key.magnitude", "key.unit").agg(F.count("*").alias("n"))
+    found = textqa.number_rows(t["whole_texts"], TEXT_KEY, "text")
+    return found.groupBy(*TEXT_KEY, "magnitude", "unit").agg(F.count("*").alias("n"))
 
 
 @query("t1_number_tokens_corpus", """
@@ -225,8 +225,16 @@ def errors(t):
         then 'template' else 'llm' end as source
     from statements s""")
 def sources(t):
-    return t["statements"].select("doc_id", textqa.narrative_source(
-        F.col("narrative"), F.col("symbol"), statement_evidence()).alias("source"))
+    """The same four checks as `textqa.narrative_source`, as relations over the whole corpus."""
+    rows = t["statements"]
+    checks = [
+        rows.where(F.trim(F.coalesce("narrative", F.lit(""))) == ""),
+        textqa.unsupported_rows(textqa.number_rows(rows, ["doc_id"], "narrative"), allowed(t), ["doc_id"]),
+        rows.where(F.size(textqa.unsupported_tickers(F.col("narrative"), F.col("symbol"))) > 0),
+        textqa.vocabulary_scan(rows.select("doc_id", F.col("narrative").alias("text")))]
+    failed = reduce(lambda a, b: a.unionAll(b), [c.select("doc_id") for c in checks]).groupBy("doc_id").agg(
+        F.lit("template").alias("failed"))
+    return rows.join(failed, "doc_id", "left").select("doc_id", F.coalesce("failed", F.lit("llm")).alias("source"))
 
 
 @query("t8_template_narrative")
