@@ -36,6 +36,22 @@ def half_even(value: Column, digits: int = 0) -> Column:
     return F.rint(value * scale) / scale
 
 
+def nearest(value: Column, digits: int) -> Column:
+    """As `half_even`, but exact where the scaled value only looks like a tie.
+
+    The product of value and scale is split into its nearest double and the rest, which decides
+    between the two neighbours of a tie. For up to six digits.
+    """
+    scale = F.lit(float(10**digits))
+    far = value * F.lit(134217729.0)  # 2^27 + 1: halves the bits of the value
+    high = far - (far - value)
+    product = value * scale
+    rest = (high * scale - product) + (value - high) * scale
+    tie = F.abs(product - F.floor(product).cast("double")) == 0.5
+    return F.when(tie & (rest > 0), F.ceil(product).cast("double")).when(
+        tie & (rest < 0), F.floor(product).cast("double")).otherwise(F.rint(product)) / scale
+
+
 def band(score: Column) -> Column:
     expr = F.lit(K.BANDS[-1][1])
     for threshold, name in reversed(K.BANDS[:-1]):
@@ -63,7 +79,7 @@ def word_any(text: Column, words: list[str]) -> Column:
 # -- text formats ---------------------------------------------------------------------------
 def fixed(value: Column, digits: int) -> Column:
     """Fixed decimals, half-even, decimal comma."""
-    text = F.format_string(f"%.{digits}f", half_even(value, digits))
+    text = F.format_string(f"%.{digits}f", nearest(value, digits))
     return F.when(value.isNotNull(), F.translate(text, ".", ","))
 
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from tapelens import constants as K
 from tapelens.operators import boards, ledger, pit, selection
 from tapelens.plans import check_sql as C
+from tapelens.plans import probe_jobs
 from tapelens.plans.probe_jobs import month_watchlist, monthly_grid
 from tapelens.plans.registry import query
+from tapelens.session import cut_lineage
 
 _PHASES = ", ".join(f"'{p}'" for p in K.PHASE_CAPS)
 _CAPS = ", ".join(str(c) for c in K.PHASE_CAPS.values())
@@ -156,15 +158,45 @@ def remembered(t):
         F.lit(5).alias("credits_total"))
 
 
+def session_watchlist(t):
+    return probe_jobs.watchlist(t, probe_jobs.session_grid)
+
+
+C.CTES.update({
+    "daily_memory": """
+        select symbol, as_of, 0.7 as confidence from s_watchlist where (rank + day(as_of)) % 3 = 1""",
+    "daily_recalled": """
+        select w.as_of, w.symbol, w.rank, w.score, w.rank % 4 = 2 and day(w.as_of) % 2 = 0 as requested,
+               d.symbol is not null as done, m.as_of as seen_on, e.score as seen_score,
+               coalesce(m.as_of >= o.trade_date and abs(w.score - e.score) < 0.05, false) as recent
+        from s_watchlist w
+        left join daily_memory d on d.symbol = w.symbol and d.as_of = w.as_of
+        left join lateral (select max(as_of) as as_of from daily_memory k
+                           where k.symbol = w.symbol and k.as_of < w.as_of) m on true
+        left join s_watchlist e on e.symbol = w.symbol and e.as_of = m.as_of
+        left join calendar c on c.trade_date = w.as_of
+        left join calendar o on o.session_idx = greatest(c.session_idx - 2, 1)""",
+    "daily_cooled": """
+        select *, recent and not requested and not done as cooled from daily_recalled""",
+})
+
+
 @query("e3_cooldown_selection", """
     select as_of, symbol, rank, requested,
-           case when requested then case when done then 'done' else 'investigate' end
-                when rank <= 3 or rank <= 3 then case when done then 'done'
-                else 'investigate' end end as status
-    from (select *, rank % 3 = 1 as done, false as requested from m_watchlist) x""")
+           case when not (requested or taken < 3) then null when done then 'done'
+                when cooled then 'cooldown' else 'investigate' end as status
+    from (select *, coalesce(sum(case when cooled or (requested and rank > 3) then 0 else 1 end) over (
+                      partition by as_of order by rank
+                      rows between unbounded preceding and 1 preceding), 0) as taken
+          from daily_cooled) x""")
 def cooldown(t):
-    return selection.cooldown_selection(
-        month_watchlist(t), remembered(t), pit.trading_calendar(t)).select(
+    """Every session's watchlist against a memory of earlier ones, with requests."""
+    listed = cut_lineage(session_watchlist(t).select("as_of", "symbol", "rank", "score"))
+    memory = listed.where((F.col("rank") + F.day("as_of")) % 3 == 1).select(
+        "symbol", "as_of", F.lit(50).alias("score"), F.lit("normal").alias("band"),
+        F.lit(0.7).alias("confidence"), F.lit(5).alias("credits_total"))
+    asked = listed.where((F.col("rank") % 4 == 2) & (F.day("as_of") % 2 == 0)).select("symbol", "as_of")
+    return selection.cooldown_selection(listed, memory, pit.trading_calendar(t), asked).select(
         "as_of", "symbol", "rank", "requested", "status")
 
 

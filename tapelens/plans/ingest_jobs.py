@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapelens.functions import scalar as S
@@ -64,15 +64,26 @@ def append_distinct(t):
 
 
 @query("a6_sorted_write", """
-    select symbol, count(*) as n, min(trade_date) as first, max(trade_date) as last
+    select symbol, count(*) as n, min(trade_date) as first, max(trade_date) as last,
+           cast(0 as bigint) as out_of_order, true as ranges_apart
     from daily_close group by 1""")
 def sorted_write(t):
+    """Read back with the place of every row: rows of a file ascend, files of a folder do not overlap."""
     spec, path = TABLES["daily_close"], scratch_dir(t.spark)
     rows = t["daily_close"].withColumn(tables.PART, tables.partition_value(spec))
     tables.write_sorted(rows, spec, path)
-    return t.spark.read.schema(f"{spec.ddl}, part string").parquet(path).groupBy("symbol").agg(
-        F.count("*").alias("n"), F.min("trade_date").alias("first"),
-        F.max("trade_date").alias("last"))
+    key = F.struct(*spec.key)
+    placed = t.spark.read.schema(f"{spec.ddl}, part string").parquet(path).select(
+        "part", "symbol", "trade_date", F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.row_index").alias("row"), key.alias("key"))
+    in_file = Window.partitionBy("file").orderBy("row")
+    rows = placed.withColumn("late", F.coalesce(F.lag("key").over(in_file) > F.col("key"), F.lit(False)))
+    files = placed.groupBy("part", "file").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    ahead = F.lag("high").over(Window.partitionBy("part").orderBy("low", "file"))
+    apart = files.withColumn("apart", F.coalesce(ahead < F.col("low"), F.lit(True))).select("file", "apart")
+    return rows.join(apart, "file").groupBy("symbol").agg(
+        F.count("*").alias("n"), F.min("trade_date").alias("first"), F.max("trade_date").alias("last"),
+        F.count_if("late").alias("out_of_order"), F.bool_and("apart").alias("ranges_apart"))
 
 
 @query("a7_conform_to_schema", """

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapelens import constants as K
 from tapelens.plans.registry import query
 from tapelens.schemas import TABLES
-from tapelens.session import scratch_dir
+from tapelens.session import ROCKSDB, STATE_STORE, scratch_dir
 from tapelens.sources import tables
 from tapelens.streaming import twins
 
@@ -33,6 +34,35 @@ def upsert(t):
     return warehouse[spec.name]
 
 
+_SPENT = "case when event_id % 9 = 0 then 'unplanned' else phase end"
+
+
+@query("z2_stream_spend_alarm", f"""
+    select s.phase, l.level, cast(1 as bigint) as alarms, true as reached
+    from (select {_SPENT} as phase, sum(credits) as spent from credit_ledger group by 1) s
+    join (values {", ".join(f"('{k}', {v})" for k, v in K.PHASE_CAPS.items())}) c(phase, cap)
+      on c.phase = s.phase
+    join (select unnest([{", ".join(f"cast({x} as double)" for x in K.ALARM_LEVELS)}]) as level) l
+      on s.spent / c.cap >= l.level""")
+def spend_alarm(t):
+    """The alarms of a ledger that arrives in several micro-batches; one phase has no cap."""
+    calls = t["credit_ledger"].select(
+        F.expr(_SPENT).alias("phase"), F.col("ts").cast("timestamp").alias("ts"), "credits")
+    folder, store = scratch_dir(t.spark), t.spark.conf.get(STATE_STORE)
+    t.spark.conf.set(STATE_STORE, ROCKSDB)  # for sessions that others built
+    try:
+        twins.stream_spend_alarm(file_stream(t, calls)).writeStream.option(
+            "checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start(
+            f"{folder}/out").awaitTermination()
+    finally:
+        t.spark.conf.set(STATE_STORE, store)
+    caps = F.create_map(*[F.lit(x) for kv in K.PHASE_CAPS.items() for x in kv])
+    fired = t.spark.read.schema("phase string, level double, ts timestamp, spent long").parquet(f"{folder}/out")
+    return fired.groupBy("phase", "level").agg(
+        F.count("*").alias("alarms"),
+        F.bool_and(F.col("spent") / caps[F.col("phase")] >= F.col("level")).alias("reached"))
+
+
 @query("z3_stream_call_dedup", """
     select endpoint, count(distinct symbol || '|' || rows_returned) as calls
     from credit_ledger group by 1""")

@@ -369,20 +369,7 @@ def references(t):
     return transcripts.unknown_references(docs)
 
 
-@query("t11_transcript_summary", """
-    select h.doc_id, h.symbol || '-' || h.as_of as id, h.n_steps as steps,
-           cast(round_even((1 - s.total / greatest(16, s.total)) * 100, 0) as int) as saving_pct,
-           coalesce(w.n, 0) as components_measured
-    from transcript_heads h
-    join (select doc_id, sum(spent) as total from transcript_steps group by 1) s
-      on s.doc_id = h.doc_id
-    left join doc_weights w on w.doc_id = h.doc_id""")
-def summaries(t):
-    return transcripts.summarise(built(t)).select(
-        "doc_id", "id", "steps", "saving_pct", "components_measured")
-
-
-@query("t12_moment_flags", """
+C.CTES["moments"] = """
     select h.doc_id, concat_ws(',', case when s.adaptive then 'adaptive' end,
              case when s.escalated then 'escalation' end,
              case when s.last_action = 'conclude' and s.n < 6 and s.total < 16
@@ -393,7 +380,33 @@ def summaries(t):
                          where b.doc_id = a.doc_id and b.step <= 2)) as adaptive,
              bool_or(next_action = 'escalate') as escalated, count(*) as n, sum(spent) as total,
              arg_max(next_action, step) as last_action
-      from transcript_steps a group by 1) s on s.doc_id = h.doc_id""")
+      from transcript_steps a group by 1) s on s.doc_id = h.doc_id"""
+
+
+@query("t11_transcript_summary", f"""
+    select h.doc_id, h.symbol || '-' || h.as_of as id, h.symbol, h.as_of, h.score, h.band, h.confidence,
+           h.n_steps as steps, s.total as credits_total, greatest(16, s.total) as baseline_credits,
+           cast(round_even((1 - s.total / greatest(16, s.total)) * 100, 0) as int) as saving_pct,
+           coalesce(w.n, 0) as components_measured, m.moments, s.by_rule as fallback_decisions,
+           h.n_steps - s.by_rule as model_decisions,
+           not starts_with(h.rationale, '{K.FALLBACK_PLAN_PREFIX}') as planner_model,
+           h.narrative_source = 'llm' as narrative_model,
+           case when length(first) > 118 then left(first, 117) || '…' else first end as headline
+    from (select *, regexp_replace(trim(split_part(narrative, '. ', 1)), '\\.+$', '') as first
+          from transcript_heads) h
+    join (select doc_id, sum(spent) as total, count(case when starts_with(reason, '{K.FALLBACK_DECISION_PREFIX}')
+                 then 1 end) as by_rule from transcript_steps group by 1) s
+      on s.doc_id = h.doc_id
+    join moments m on m.doc_id = h.doc_id
+    left join doc_weights w on w.doc_id = h.doc_id""")
+def summaries(t):
+    return transcripts.summarise(built(t)).select(
+        "doc_id", "id", "symbol", "as_of", "score", "band", "confidence", "steps", "credits_total",
+        "baseline_credits", "saving_pct", "components_measured", F.array_join("moments", ",").alias("moments"),
+        "fallback_decisions", "model_decisions", "planner_model", "narrative_model", "headline")
+
+
+@query("t12_moment_flags", "select doc_id, moments from moments")
 def moment_flags(t):
     return built(t).select("doc_id", F.array_join(transcripts.moments(), ",").alias("moments"))
 
@@ -471,17 +484,28 @@ def norms(t):
                               .alias("share"))
 
 
-@query("h3_money_text", """
-    select o_orderkey, case when v >= 1e12 then 'Rp ' || replace(format('{:.1f}', v / 1e12), '.', ',') || ' T'
-             when v >= 1e9 then 'Rp ' || replace(format('{:.1f}', v / 1e9), '.', ',') || ' M'
-             when v >= 1e6 then 'Rp ' || replace(format('{:.1f}', v / 1e6), '.', ',') || ' jt'
-             else 'Rp ' || replace(format('{:.1f}', v / 1e3), '.', ',') || ' rb' end as money
-    from (select o_orderkey, o_totalprice * (1 + 1000 * (o_orderkey % 4)) as v from orders) x
-    where v >= 1000""")
+_AMOUNT = """case o_orderkey % 5 when 0 then -o_totalprice when 1 then o_totalprice / 1000
+             when 2 then o_totalprice * 1e3 when 3 then o_totalprice * 1e7 else o_totalprice end"""
+
+
+@query("h3_money_text", f"""
+    select o_orderkey, case when v < 0 then '-' else '' end || 'Rp ' || case
+             when a >= 1e12 then replace(format('{{:.1f}}', a / 1e12), '.', ',') || ' T'
+             when a >= 1e9 then replace(format('{{:.1f}}', a / 1e9), '.', ',') || ' M'
+             when a >= 1e6 then replace(format('{{:.1f}}', a / 1e6), '.', ',') || ' jt'
+             when a >= 1e3 then replace(format('{{:.1f}}', a / 1e3), '.', ',') || ' rb'
+             else format('{{:.0f}}', a) end as money,
+           case when share >= 0 then '+' else '' end
+             || replace(format('{{:.1f}}', round_even(share * 100, 1)), '.', ',') || '%' as percent,
+           replace(format('{{:.1f}}', round_even(share * 10, 1)), '.', ',') || 'σ' as sigma
+    from (select *, abs(v) as a from (
+      select o_orderkey, {_AMOUNT} as v, (o_custkey % 200 - 100) / cast(400 as double) as share
+      from orders) y) x""")
 def money(t):
-    v = F.col("o_totalprice") * (1 + 1000 * (F.col("o_orderkey") % 4))
-    return t["orders"].withColumn("v", v).where("v >= 1000").select(
-        "o_orderkey", S.money(F.col("v")).alias("money"))
+    share = (F.col("o_custkey") % 200 - 100) / F.lit(400.0)
+    return t["orders"].select(
+        "o_orderkey", S.money(F.expr(_AMOUNT)).alias("money"),
+        S.signed_percent(share, 1).alias("percent"), S.sigma(share * 10).alias("sigma"))
 
 
 _MONTHS = ", ".join(repr(m) for m in K.MONTH_NAMES)
@@ -490,12 +514,22 @@ _DAYS = ", ".join(repr(d) for d in K.WEEKDAY_NAMES)
 
 @query("h4_date_text", f"""
     select o_orderkey, [{_DAYS}][dayofweek(d) + 1] as weekday, dayofweek(d) in (0, 6) as weekend,
-           day(d) || ' ' || [{_MONTHS}][month(d)] || ' ' || year(d) as shown
-    from (select o_orderkey, cast(o_orderdate as date) as d from orders) x""")
+           day(d) || ' ' || [{_MONTHS}][month(d)] || ' ' || year(d) as shown,
+           case when unread then '' else lpad(cast(local_ // 60 as varchar), 2, '0') || ':'
+             || lpad(cast(local_ % 60 as varchar), 2, '0') || ' WIB' end as clock,
+           case when unread then 'kapan' else d || ' ' || hh || ':' || mm || ' WIB' end as as_of
+    from (select *, o_orderkey % 11 = 0 as unread, lpad(cast(o_orderkey % 24 as varchar), 2, '0') as hh,
+                 lpad(cast(o_orderkey % 60 as varchar), 2, '0') as mm,
+                 (o_orderkey % 24 * 60 + o_orderkey % 60 + (7 - o_custkey % 10) * 60 + 1440) % 1440 as local_
+          from (select o_orderkey, o_custkey, cast(o_orderdate as date) as d from orders) y) x""")
 def dates(t):
     d = F.to_date("o_orderdate")
-    return t["orders"].select("o_orderkey", S.weekday_name(d).alias("weekday"),
-                              S.is_weekend(d).alias("weekend"), S.short_date(d).alias("shown"))
+    stamp = F.when(F.col("o_orderkey") % 11 == 0, "kapan").otherwise(F.format_string(
+        "%sT%02d:%02d:00+%02d:00", d.cast("string"), F.col("o_orderkey") % 24, F.col("o_orderkey") % 60,
+        F.col("o_custkey") % 10))
+    return t["orders"].select(
+        "o_orderkey", S.weekday_name(d).alias("weekday"), S.is_weekend(d).alias("weekend"),
+        S.short_date(d).alias("shown"), S.local_clock(stamp).alias("clock"), S.as_of_text(stamp).alias("as_of"))
 
 
 @query("h5_savings_label", """

@@ -148,6 +148,44 @@ def test_no_python_and_no_cartesian_in_the_probe_plan(spark):
         assert word not in text
 
 
+def test_scans_read_only_the_months_of_the_grid(spark, tmp_path):
+    import contextlib
+    import io
+
+    from tapelens.sources.tables import Warehouse
+
+    tables = market.tables(spark)
+    stored = Warehouse(spark, str(tmp_path))
+    for name, rows in tables.items():
+        stored.upsert(name, rows)
+    days = pit.trading_calendar(tables)
+    day = date(2026, 5, 4)
+    grid = market.grid(spark, day)
+    for name, probe in probes.PROBES.items():
+        assert sorted(map(str, probe(stored, grid).collect())) == sorted(map(str, probe(tables, grid).collect())), name
+    with contextlib.redirect_stdout(io.StringIO()) as shown:
+        probes.broker_net(stored, grid).explain("formatted")
+    filters = [line for line in shown.getvalue().splitlines() if line.startswith("PartitionFilters") and "part#" in line]
+    assert filters and all("subquery" in line.lower() for line in filters)
+    ended = pit.with_end_session(grid, days)
+    read = pit.window_reader(stored, ended, days, 20)("broker_summary")
+    months = {f"{r.m:%Y-%m}" for r in read.select(F.trunc("trade_date", "MM").alias("m")).distinct().collect()}
+    assert months <= {"2026-03", "2026-04", "2026-05"}
+    few = pit.window_reader(stored, ended, days, 20, sparse=True)("daily_transaction")
+    assert 0 < few.count() < tables["daily_transaction"].count()
+
+
+def test_one_aggregation_joins_the_probes(spark):
+    grid = market.grid(spark)
+    scored = probes.run_all(market.tables(spark), grid, exclude=("SSS",))
+    assert set(scored.columns) == {"symbol", "as_of", *K.COMPONENTS}
+    rows = scored.collect()
+    assert len(rows) == grid.count() and {r["SSS"]["unavailable_reason"] for r in rows} == {"excluded"}
+    sparse = probes.run_all(market.tables(spark), grid, sparse=True)
+    full = probes.run_all(market.tables(spark), grid)
+    assert sorted(map(str, sparse.collect())) == sorted(map(str, full.collect()))
+
+
 def test_the_screen_is_registered_on_every_session(spark):
     from statistics import median
 

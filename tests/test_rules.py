@@ -53,6 +53,40 @@ def test_names_need_to_be_the_subject(spark):
     assert got == ["JAJA"]
 
 
+def test_quotes_of_many_hits_and_folded_letters(spark):
+    import re
+
+    text = "target harga" + " cuan beli aksi jual" * 3 + "z" * 50 + "TARGET\n HARGA, pa\u017fti naik"
+    got = one(spark, textqa.wording_findings(F.lit(text)))
+    flat = text.replace("\n", " ")
+
+    def quote(start, end):
+        left, right = text[max(0, start - 38):start], text[end:end + 38]
+        body = (left + text[start:end] + right).replace("\n", " ").strip(" ")
+        return ("…" if start > 38 else "") + body + ("…" if len(text) - end > 38 else "")
+
+    for pattern, reason in ((r"target\s+harga", "price target"), (r"\bcuan\b", None)):
+        want = [quote(*m.span()) for m in re.finditer(pattern, text, re.I | re.S)]
+        mine = [r["quote"] for r in got if any(w == r["quote"] for w in want)]
+        assert want and [w for w in want if w not in mine] == []
+    assert sum("pa\u017fti" in r["quote"] for r in got) >= 2 and flat
+    assert textqa.needed_words(r"(wajib|layak)\s+(beli|jual)") in (["wajib", "layak"], ["beli", "jual"])
+    assert textqa.needed_words(r"a|\d+") == []
+
+
+def test_fixed_text_rounds_the_binary_value(spark):
+    import random
+
+    rng = random.Random(2)
+    values = [572.15, 0.25, -0.35, 1.005, 2.675, 1e-9] + [round(rng.uniform(-999, 999), rng.randint(1, 4)) for _ in range(400)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select(
+        "v", *[S.fixed(F.col("v"), d).alias(f"d{d}") for d in (0, 1, 2)]).collect()
+    for r in rows:
+        for d in (0, 1, 2):
+            want = f"{r['v']:.{d}f}".replace(".", ",")
+            assert r[f"d{d}"].lstrip("-") == want.lstrip("-"), (r["v"], d)
+
+
 def test_wording(spark):
     def found(text):
         return [r["reason"] for r in one(spark, textqa.wording_findings(F.lit(text)))]
