@@ -16,7 +16,7 @@ HEADLINE = [
     "p7_run_all_probes", "p11_screen_score", "p16_observation_matrix", "d18_arm_summary",
     "w7_first_threshold_crossing", "e4_request_quota", "a8_flatten_envelope",
     "a4_keyed_upsert", "t3_unsupported_numbers", "t5_vocab_scan", "t7_secret_redaction",
-    "t10_transcript_checks",
+    "t10_transcript_checks", "p11_screen_score_daily", "t3_unsupported_numbers_corpus",
 ]
 
 

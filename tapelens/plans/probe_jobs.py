@@ -547,6 +547,26 @@ C.CTES["session_grid"] = """
     from company_profile p cross join calendar c"""
 C.CTES.update({on_sessions(name): on_sessions(sql) for name, sql in C.CTES.items()
                if on_sessions(name) != name and name != "month_grid"})
+# On every session the newest volume is scored once and looked up, instead of once per grid date.
+C.CTES.update({
+    "volume_medians": """
+        select symbol, session_idx, cast(volume as double) as v,
+               row_number() over (partition by symbol order by session_idx) as n,
+               median(cast(volume as double)) over (partition by symbol order by session_idx
+                 rows between unbounded preceding and 1 preceding) as med
+        from dated_transaction""",
+    "volume_scores": """
+        select t.symbol, t.session_idx,
+               case when t.n >= 20 and median(abs(h.v - t.med)) * 1.4826 > 0
+                    then (t.v - t.med) / (median(abs(h.v - t.med)) * 1.4826) end as z
+        from volume_medians t join volume_medians h on h.symbol = t.symbol and h.n < t.n
+        group by t.symbol, t.session_idx, t.n, t.v, t.med""",
+    "s_volume": """
+        select g.symbol, g.as_of,
+               case when s.session_idx >= g.end_idx - 5 or g.end_idx <= 5 then s.z end as volume_z
+        from session_grid g asof join volume_scores s
+          on s.symbol = g.symbol and s.session_idx <= g.end_idx""",
+})
 DAILY = {
     "w2_return_n_sessions": returns, "w3_volume_zscore": volume_z, "c4_recent_event_semi": recent,
     "p11_screen_score": screened, "p12_screen_reason_text": reasons, "e2_watchlist_topk": watch,
