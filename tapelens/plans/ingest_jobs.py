@@ -17,7 +17,7 @@ from tapelens.sources import documents, payloads, tables
 def stored(t, *names: str) -> tables.Warehouse:
     warehouse = tables.Warehouse(t.spark, scratch_dir(t.spark))
     for name in names:
-        warehouse.upsert(name, t[name])
+        warehouse.upsert(name, t[name], count=False)
     return warehouse
 
 
@@ -52,14 +52,14 @@ def upsert(t):
     warehouse = stored(t, "suspensions")
     batch = t["suspensions"].where("start_date >= '1998-01-01'").withColumn(
         "reason", F.lit("revised"))
-    warehouse.upsert("suspensions", batch)
+    warehouse.upsert("suspensions", batch, count=False)
     return warehouse["suspensions"]
 
 
 @query("a5_append_distinct", "select filing_date, symbol, holder_name, shares from filings")
 def append_distinct(t):
     warehouse = stored(t, "filings")
-    warehouse.upsert("filings", t["filings"])
+    warehouse.upsert("filings", t["filings"], count=False)
     return warehouse["filings"].select("filing_date", "symbol", "holder_name", "shares")
 
 

@@ -104,8 +104,8 @@ class Warehouse:
     def __getitem__(self, table: str) -> DataFrame:
         return self.read(table)
 
-    def upsert(self, table: str, rows: DataFrame) -> int:
-        """Merge rows in and return the size of the table afterwards.
+    def upsert(self, table: str, rows: DataFrame, count: bool = True) -> int | None:
+        """Merge rows in and return the size of the table afterwards, if it is to be counted.
 
         Only the folders that the batch touches are read and swapped in by the committer;
         running the same batch again changes nothing. Their names are months or hash slices,
@@ -120,7 +120,7 @@ class Warehouse:
         merged = merge(old.select(*spec.columns), new.select(*spec.columns), spec)
         self.calendar = None
         write_sorted(merged.withColumn(PART, partition_value(spec)), spec, self.location(table))
-        return self.read(table).count()
+        return self.read(table).count() if count else None
 
     def summary(self, as_of=None) -> DataFrame:
         return summarise({t: self.read(t, as_of) for t in TABLES})

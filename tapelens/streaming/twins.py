@@ -21,7 +21,7 @@ from tapelens.sources.tables import Warehouse
 def stream_upsert(stream: DataFrame, warehouse: Warehouse, table: str, checkpoint: str):
     """Each micro-batch goes through the batch upsert; a replayed batch changes nothing."""
     return (
-        stream.writeStream.foreachBatch(lambda batch, _: warehouse.upsert(table, batch))
+        stream.writeStream.foreachBatch(lambda batch, _: warehouse.upsert(table, batch, count=False))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
