@@ -5,8 +5,9 @@ Every language has a codeword. One binary classifier per bit (ridge regression o
 language whose codeword is nearest under a loss weighted by how well each bit was learned wins.
 A text whose two nearest codewords are almost equally far is flagged ambiguous.
 
-Training reads a sample of labelled rows, about SAMPLE_PER_LANGUAGE of each language (rates come
-from counts over all labelled rows; rows are chosen by a hash). Predictions read whole texts in
+Training reads a sample of labelled rows, about SAMPLE_PER_LANGUAGE of each language and at most about
+TRAINING_ROWS in all, in equal shares: the system solved on the driver has one row for each (rates
+come from counts over all labelled rows; rows are chosen by a hash). Predictions read whole texts in
 Arrow batches and need no shuffle; the model is a matrix of fixed size per bit.
 
 Defined cases: a null text or one without a letter is `und` with score 0 and not ambiguous; with
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
 SAMPLE_PER_LANGUAGE = 500
+TRAINING_ROWS = 6000
 DIMENSIONS_LOG2 = 12
 RIDGE = 0.02
 AMBIGUOUS_BELOW = 0.15
@@ -96,11 +98,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def training_sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> pd.DataFrame:
-    """lang and features of about `per_language` labelled rows of each language."""
+    """lang and features of about `per_language` labelled rows of each language, TRAINING_ROWS in all."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return pd.DataFrame({"lang": [], "x": []})
+    per_language = max(1, min(per_language, TRAINING_ROWS // len(counts)))
     rates = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (
         lang, min(_MILLION, -(-per_language * _MILLION // n)))])
     draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(_MILLION))

@@ -73,6 +73,10 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
             or before.get("type") != "ByteLevel" or before.get("add_prefix_space")
             or not before.get("use_regex", True)):
         return plain
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [model["vocab"].get("".join(pair), -1) for pair in pairs]
+    if any(a >= b for a, b in zip([-1, *made], made)):
+        return plain  # ids do not follow the order of the merges
     of_character = _byte_characters()
     special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
     ranks = {bytes(of_character[c] for c in token): i

@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapelens.functions.scalar import let
 from tapelens.llm import spans
 from tapelens.llm.base import select_over, whole_text
 
@@ -110,14 +111,13 @@ def _proposals() -> dict[str, Column]:
 def _short_cards() -> Column:
     """Those in any groups only where they meet none that is unbroken or in groups of cards."""
     sure = F.concat("short_card_0_", "short_card_1_")
-    return F.concat(sure, F.filter("short_card_2_", lambda s: ~F.exists(
-        sure, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]))))
+    return F.concat(sure, spans.beside(F.col("short_card_2_"), sure))
 
 
-def _score(span: Column) -> Column:
+def _score(span: Column, parts: Column) -> Column:
     low = F.greatest(F.lit(0), span["start"] - CONTEXT)
-    near = F.lower(F.concat_ws(" ", F.substring(F.col("body_"), low + 1, span["start"] - low),
-                               F.substring(F.col("body_"), span["end"] + 1, F.lit(CONTEXT))))
+    near = F.lower(F.concat_ws(" ", spans.cut(parts, low, span["start"]),
+                               spans.cut(parts, span["end"], span["end"] + CONTEXT)))
     score = F.lit(0.0)
     for kind, base in SCORES.items():
         in_context = near.rlike(rf"(?<![a-z])(?:{CONTEXT_WORDS[kind]})(?![a-z])")
@@ -139,10 +139,10 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
         F.concat(F.col("iban_"), _short_cards()).alias("added"))
     scored = joined.select(
         *keep, spans.ordered(F.col("base"), BASE_KINDS, by_kind=True).alias("base"),
-        F.when(F.size("base") + F.size("added") > 0, F.transform(
+        F.when(F.size("base") + F.size("added") > 0, let(spans.chunks("body_"), lambda parts: F.transform(
             F.concat(spans.ordered(F.col("base"), BASE_KINDS, by_kind=True),
                      spans.ordered(F.col("added"), ADDED_KINDS, by_kind=True)),
             lambda s: F.struct(*[s[n].alias(n) for n in ("start", "end", "kind", "text")],
-                               _score(s).alias("score")))).alias("all_"))
+                               _score(s, parts).alias("score"))))).alias("all_"))
     reported = F.filter("all_", lambda s: s["kind"].isin(*BASE_KINDS) | (s["score"] >= REPORT_FROM))
     return scored.select(*keep, "base", reported.alias("found"))

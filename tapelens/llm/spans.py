@@ -2,6 +2,10 @@
 
 A span is (start, end, kind, text) in code points, end exclusive. Places come from the pieces
 between the matches, so a text is read twice at most, and once where nothing matches.
+
+The state of a fold is copied at each step, so no fold gathers all matches of a text: `_running` folds
+blocks of BLOCK items. Parts of a text are cut out of chunks (`chunks`, `cut`), never counted from
+its start.
 """
 
 from __future__ import annotations
@@ -11,14 +15,62 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tapelens.functions.scalar import let
+
 SPAN = "struct<start:int,end:int,kind:string,text:string>"
 NO_SPANS = f"array<{SPAN}>"
+#: Items of a block, characters of a chunk.
+BLOCK, CHUNK = 128, 1024
 
 
 def none() -> Column:
     return F.array().cast(NO_SPANS)
 
 
+def _running(items: Column, zero: Column, state: str, advance: Callable[[Column, Column], Column],
+             emit: Callable[[Column, Column], Column], made: str = NO_SPANS) -> Column:
+    """What `emit` (an array) gives for every item and the state before it, in the order of `items`.
+
+    `advance` gives the next state. A first pass carries the state from block to block, a second
+    one folds every block from the state at its start.
+    """
+    empty = F.array().cast(made)
+
+    def of(items: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")),
+                             lambda i: F.slice(items, i * BLOCK + 1, F.lit(BLOCK)))
+        return F.when(F.size(items) == 0, empty).otherwise(let(blocks, of_blocks))
+
+    def of_blocks(blocks: Column) -> Column:
+        entries = F.aggregate(blocks, F.struct(
+            zero.cast(state).alias("at"), F.array().cast(f"array<{state}>").alias("seen")),
+            lambda s, block: F.struct(
+                F.aggregate(block, s["at"], lambda t, item: advance(t, item).cast(state)).alias("at"),
+                F.concat(s["seen"], F.array(s["at"])).alias("seen")),
+            lambda s: s["seen"])
+        return F.flatten(F.zip_with(blocks, entries, of_block))
+
+    def of_block(block: Column, entry: Column) -> Column:
+        return F.aggregate(block, F.struct(entry.alias("at"), empty.alias("out")), lambda s, item: F.struct(
+            advance(s["at"], item).cast(state).alias("at"),
+            F.concat(s["out"], emit(s["at"], item).cast(made)).alias("out")), lambda s: s["out"])
+
+    return let(items, of)
+
+
+def chunks(body: str | Column) -> Column:
+    """The text in parts of CHUNK characters (the last may be shorter)."""
+    return F.regexp_extract_all(body, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def cut(parts: Column, start: Column, end: Column) -> Column:
+    """Characters `start` to `end` (exclusive; places from 0) of a text given in `chunks`."""
+    first = F.floor(start / CHUNK).cast("int")
+    count = F.floor(F.greatest(end - 1, start) / CHUNK).cast("int") - first + 1
+    return F.when(end > start, F.substring(F.array_join(F.slice(parts, first + 1, count), ""),
+                                           start - first * CHUNK + 1, end - start)).otherwise("")
+
+
 def find(body: str, pattern: str, kind: str, holds: Callable[[Column], Column] | None = None,
          ahead: bool = False) -> Column:
     """Leftmost non-overlapping matches of `pattern` in column `body`; those failing `holds` go.
@@ -29,18 +81,15 @@ def find(body: str, pattern: str, kind: str, holds: Callable[[Column], Column] |
     found = F.regexp_extract_all(body, F.lit(pattern), F.lit(1 if ahead else 0))
     before = F.slice(F.split(body, pattern, -1), 1, F.size(found))
 
-    def step(state: Column, piece: Column) -> Column:
-        start = state["at"] + F.length(piece["before"])
-        end = start + F.length(piece["found"])
-        span = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"),
-                        piece["found"].alias("text"))
-        at = start + 1 if ahead else end
-        return F.struct(at.alias("at"), F.concat(state["spans"], F.array(span)).cast(NO_SPANS)
-                        .alias("spans"))
-
-    placed = F.aggregate(F.arrays_zip(before.alias("before"), found.alias("found")),
-                         F.struct(F.lit(0).alias("at"), none().alias("spans")), step,
-                         lambda state: state["spans"])
+    def advance(at: Column, piece: Column) -> Column:
+        return at + F.length(piece["before"]) + (F.lit(1) if ahead else F.length(piece["found"]))
+
+    def emit(at: Column, piece: Column) -> Column:
+        start = at + F.length(piece["before"])
+        return F.array(F.struct(start.alias("start"), (start + F.length(piece["found"])).alias("end"),
+                                F.lit(kind).alias("kind"), piece["found"].alias("text")))
+
+    placed = _running(F.arrays_zip(before.alias("before"), found.alias("found")), F.lit(0), "int", advance, emit)
     kept = placed if holds is None else F.filter(placed, lambda span: holds(span["text"]))
     return F.when(F.col(body).rlike(pattern), kept).otherwise(none())
 
@@ -48,12 +97,45 @@ def find(body: str, pattern: str, kind: str, holds: Callable[[Column], Column] |
 def apart(spans: Column) -> Column:
     """Spans by start, without those that begin inside an earlier one that stays."""
 
-    def step(kept: Column, span: Column) -> Column:
-        inside = (F.size(kept) > 0) & (span["start"] < F.coalesce(
-            F.try_element_at(kept, F.lit(-1))["end"], F.lit(0)))
-        return F.when(inside, kept).otherwise(F.concat(kept, F.array(span)).cast(NO_SPANS))
+    def advance(at: Column, span: Column) -> Column:
+        return F.when(span["start"] >= at, span["end"]).otherwise(at)
+
+    def emit(at: Column, span: Column) -> Column:
+        return F.when(span["start"] >= at, F.array(span).cast(NO_SPANS)).otherwise(none())
+
+    return _running(spans, F.lit(0), "int", advance, emit)
+
+
+def beside(spans: Column, others: Column) -> Column:
+    """Those of `spans` (none overlapping the next) that overlap none of `others`, in one sweep by start.
+
+    A span waits until the next one starts, or one of `others` inside it drops it; an earlier one of
+    `others` hides it by the furthest end so far. A last span after all texts ends the sweep.
+    """
+    nothing, behind = F.lit(None).cast(SPAN), F.lit(2**31 - 1)
+
+    def listed(them: Column, rank: int) -> Column:
+        return F.transform(them, lambda s: F.struct(
+            s["start"].alias("start"), F.lit(rank).alias("rank"), s.alias("span")))
+
+    def advance(state: Column, item: Column) -> Column:
+        own, span, waits = item["rank"] == 1, item["span"], state["waits"]
+        still = F.when(waits["end"] > span["start"], nothing).otherwise(waits)
+        fresh = F.when(span["start"] >= state["cover"], span.cast(SPAN)).otherwise(nothing)
+        return F.struct(
+            F.when(own, state["cover"]).otherwise(F.greatest(state["cover"], span["end"])).alias("cover"),
+            F.when(own, fresh).otherwise(still).alias("waits"))
+
+    def emit(state: Column, item: Column) -> Column:
+        ready = (item["rank"] == 1) & state["waits"].isNotNull()
+        return F.when(ready, F.array(state["waits"]).cast(NO_SPANS)).otherwise(none())
 
-    return F.aggregate(spans, none(), step)
+    last = F.array(F.struct(behind.alias("start"), behind.alias("end"), F.lit("").alias("kind"),
+                            F.lit("").alias("text"))).cast(NO_SPANS)
+    items = F.array_sort(F.concat(listed(others, 0), listed(F.concat(spans, last), 1)))
+    swept = _running(items, F.struct(F.lit(0).alias("cover"), nothing.alias("waits")),
+                     f"struct<cover:int,waits:{SPAN}>", advance, emit)
+    return F.when(F.size(spans) == 0, none()).otherwise(swept)
 
 
 def ordered(spans: Column, kinds: Sequence[str], by_kind: bool = False) -> Column:
@@ -81,12 +163,18 @@ def count_of(spans: Column, kind: str) -> Column:
 def replaced(body: str, spans: Column, label: str) -> Column:
     """The text with every run of overlapping spans (sorted by start) replaced by `label`."""
 
-    def step(state: Column, span: Column) -> Column:
-        apart = span["start"] >= state["at"]
-        between = F.substring(F.col(body), state["at"] + 1, F.greatest(F.lit(0), span["start"] - state["at"]))
-        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), F.concat(
-            state["out"], between, F.when(apart, F.lit(label)).otherwise("")).alias("out"))
+    places = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    end = F.array(F.struct(F.length(body).alias("start"), F.length(body).alias("end")))
+
+    def advance(at: Column, span: Column) -> Column:
+        return F.greatest(at, span["end"])
+
+    def of(parts: Column) -> Column:
+        def emit(at: Column, span: Column) -> Column:
+            put = F.when(span["end"] > span["start"], F.lit(label)).otherwise("")
+            return F.when(span["start"] >= at, F.array(F.concat(cut(parts, at, span["start"]), put))) \
+                .otherwise(F.array().cast("array<string>"))
+
+        return F.array_join(_running(F.concat(places, end), F.lit(0), "int", advance, emit, "array<string>"), "")
 
-    end = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    return F.when(F.size(spans) == 0, F.col(body)).otherwise(
-        F.concat(end["out"], F.substring(F.col(body), end["at"] + 1, F.length(body))))
+    return F.when(F.size(spans) == 0, F.col(body)).otherwise(let(chunks(body), of))

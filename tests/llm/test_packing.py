@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 from collections import defaultdict
@@ -26,6 +27,15 @@ def test_ids_equal_those_of_the_file(plain):
         assert encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids, text[:80]
 
 
+def test_a_file_whose_ids_do_not_follow_its_merges(tmp_path):
+    vocab = {c: i for i, c in enumerate("abc")} | {"bc": 3, "ab": 4}
+    spec = {"model": {"type": "BPE", "vocab": vocab, "merges": ["a b", "b c"]}, "added_tokens": [],
+            "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True, "trim_offsets": True}}
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec))
+    assert packing.encoder(str(path))("abc").tolist() == [4, 2]
+
+
 def test_pieces_and_sequences(spark, plain):
     rng = random.Random(2)
     texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(rng.randint(0, 900)))

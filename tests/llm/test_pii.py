@@ -2,7 +2,9 @@ import hashlib
 import random
 import re
 
-from tapelens.llm import jobs, pii
+from pyspark.sql import functions as F
+
+from tapelens.llm import jobs, pii, spans
 
 KINDS = ("email", "ip", "card", "phone")
 PLAIN = {
@@ -99,3 +101,28 @@ def test_what_follows_after_a_space_is_no_part_of_the_number(spark, tmp_path):
     got = {r.doc_id: r.spans for r in jobs.op7(spark, str(tmp_path)).collect()}
     assert {text: ",".join(s for s in got[i].split(",") if s.startswith(pii.ADDED_KINDS))
             for i, text in rows} == cases
+
+
+def test_a_text_with_very_many_matches(spark):
+    count = 100_000
+    text = " ".join(f"a{i % 10}@b.c" for i in range(count)) + " visa 378282246310005 " + "378282246310005, " * 2000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = pii.scan(docs).selectExpr("base", "found").first()
+    assert [(s.start, s.end) for s in row.base] == [(7 * i, 7 * i + 6) for i in range(count)]
+    assert {s.text for s in row.found if s.kind == "short_card"} == {"378282246310005"}
+
+
+def test_loose_spans_beside_sure_ones(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(300):
+        cuts = sorted(rng.sample(range(60), 2 * rng.randint(0, 6)))
+        sure = [sorted(rng.sample(range(60), 2)) for _ in range(rng.randint(0, 3))]
+        rows.append((i, list(zip(cuts[::2], cuts[1::2])), [tuple(s) for s in sure]))
+    made = spark.createDataFrame(rows, "i int, own array<struct<a:int,b:int>>, sure array<struct<a:int,b:int>>")
+    span = "{0} -> named_struct('start', {0}.a, 'end', {0}.b, 'kind', 'k', 'text', '')".format("s")
+    placed = made.selectExpr("i", f"transform(own, {span}) own", f"transform(sure, {span}) sure")
+    got = {r.i: [(s.start, s.end) for s in r.kept]
+           for r in placed.select("i", spans.beside(F.col("own"), F.col("sure")).alias("kept")).collect()}
+    for i, own, sure in rows:
+        assert got[i] == [o for o in own if all(s[1] <= o[0] or o[1] <= s[0] for s in sure)], (own, sure)

@@ -75,3 +75,14 @@ def test_redaction_replaces_spans_only(spark):
     assert got == {1: ("a [SECRET] b", 12), 2: ("nothing", 7), None: (None, None),
                    3: ("[SECRET] [SECRET]", 17)}
     assert secret_links.redact(docs.limit(0)).collect() == []
+
+
+def test_a_text_with_very_many_secrets(spark):
+    count = 100_000
+    text = "😀 " + "token=abcdefg1 " * count + "end" + "." * 3000
+    docs = spark.createDataFrame([(1, text, len(text))], "doc_id long, text string, n_chars long")
+    assert secret_links.scan(docs).selectExpr("size(base)", "base[99999].start").first() == (
+        count, 2 + 15 * (count - 1))
+    clean = secret_links.redact(docs).first()
+    assert clean.text == "😀 " + "[SECRET] " * count + "end" + "." * 3000
+    assert clean.n_chars == len(clean.text)
