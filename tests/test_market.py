@@ -1,3 +1,8 @@
+import re
+from datetime import date
+
+import market
+from tapelens.operators import pit, probes
 from tapelens.plans.market import MarketTables
 
 
@@ -23,3 +28,56 @@ def test_every_listed_security_has_all_its_suspensions(spark, tmp_path):
                  for r in MarketTables(spark, str(tmp_path))["suspensions"].collect())
     days = ["1998-01-02", "1998-01-09", "1998-02-02", "1998-02-09"]
     assert got == [(symbol, day) for symbol in ("BRAB", "BRCF") for day in days]
+
+
+class Counted(dict):
+    """Tables that count how often each is asked for."""
+
+    def __init__(self, tables):
+        super().__init__(tables)
+        self.asked = []
+
+    def __getitem__(self, name):
+        self.asked.append(name)
+        return super().__getitem__(name)
+
+
+def test_tables_are_read_once_by_the_broker_and_the_event_probe(spark, tmp_path):
+    tables = Counted(market.tables(spark))
+    tables["broker_summary"].write.parquet(f"{tmp_path}/broker_summary")
+    dict.__setitem__(tables, "broker_summary", spark.read.parquet(f"{tmp_path}/broker_summary"))
+    grid = tables["company_profile"].select("symbol").crossJoin(
+        spark.createDataFrame([(market.AS_OF,)], "as_of date"))
+    plan = probes.broker_net(tables, grid)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Relation \[.*broker_code", plan)) == 1
+    tables.asked.clear()
+    probes.structural(tables, grid)
+    assert sorted(tables.asked) == ["corporate_actions", "filings", "suspensions"]
+
+
+def test_days_without_a_session_belong_to_the_one_before(spark):
+    calendar = spark.createDataFrame(
+        [(date(2026, 1, 2), 1), (date(2026, 1, 5), 2)], "trade_date date, session_idx int")
+    last = spark.createDataFrame([(date(2026, 1, 7),)], "d date").agg({"d": "max"}).scalar()
+    got = sorted((r.trade_date.day, r.session_idx) for r in pit.session_days(calendar, last).collect())
+    assert got == [(2, 1), (3, 1), (4, 1), (5, 2), (6, 2), (7, 2)]
+
+
+def test_one_pass_over_the_lines_serves_the_tables_of_days(spark, tmp_path):
+    write(spark, tmp_path, "part", [(1, "Brand#1", 901.0)],
+          "p_partkey long, p_brand string, p_retailprice double")
+    write(spark, tmp_path, "lineitem",
+          [(1, "N", 2.0, 10.25, 0.01, "1998-01-05"), (1, "A", 3.0, 4.5, 0.09, "1998-01-05"),
+           (1, "R", 4.0, 7.75, 0.05, "1998-02-06")],
+          "l_partkey long, l_returnflag string, l_quantity double, l_extendedprice double,"
+          " l_discount double, l_shipdate string")
+    tables = MarketTables(spark, str(tmp_path))
+    assert sorted((str(r.trade_date), r.close_price, r.volume)
+                  for r in tables["daily_transaction"].collect()) == [
+        ("1998-01-05", 2.95, 5), ("1998-02-06", 1.9375, 4)]
+    assert [(str(r.trade_date), r.net_value) for r in tables["foreign_flow"].collect()] == [("1998-01-05", 5.75)]
+    quarter, = tables["quarterly_financials"].collect()
+    assert (str(quarter.report_date), int(quarter.revenue), int(quarter.total_assets)) == ("1998-03-31", 23, 9000)
+    for name in ("daily_transaction", "foreign_flow", "quarterly_financials"):
+        assert "lineitem" not in tables[name]._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_shipdate" not in tables[name]._jdf.queryExecution().optimizedPlan().toString()
