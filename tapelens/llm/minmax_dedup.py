@@ -18,7 +18,7 @@ Steps, all as Spark jobs:
    the rarest shingles of both. One round pairs each holder of such a shingle with one member of
    the largest component that holds it, which closes most cases with few pairs; then all
    documents that share one and are still apart are compared, unless its places in the
-   order rule the pair out.
+   order or the counts of their shared shingles by bucket rule the pair out.
 
 So no link that the bands can find is lost and no bucket is expanded into all its pairs.
 A pair at the threshold 0.8 misses all 32 bands of 4 values with probability 5e-8.
@@ -48,6 +48,7 @@ from tapelens.session import cut_lineage
 SHINGLE_WORDS = 5
 PERCENT = 80
 BANDS, BAND_VALUES = 32, 4
+BUCKETS = 128
 PERMUTATIONS = BANDS * BAND_VALUES // 2
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _CACHE_WORDS = 1 << 20
@@ -192,24 +193,40 @@ def one_partner_each(rows: DataFrame) -> DataFrame:
         F.col("id").alias("a"), F.col("one.id").alias("b")).distinct()
 
 
-def across_components(rows: DataFrame, percent: int) -> DataFrame:
+def bucket_counts(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and, per bucket of the hash, how many shingles it shares with any other of `ids`."""
+    each = sets.join(ids, "id", "left_semi").select("id", F.explode("shingles").alias("s"))
+    twice = each.groupBy("s").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("s")
+    spots = each.join(twice, "s").groupBy("id", F.pmod("s", F.lit(BUCKETS)).cast("int").alias("at")).agg(
+        F.count(F.lit(1)).cast("int").alias("k"))
+    counts = F.map_from_entries(F.collect_list(F.struct("at", "k")))
+    return spots.groupBy("id").agg(counts.alias("by")).select("id", F.transform(
+        F.sequence(F.lit(0), F.lit(BUCKETS - 1)),
+        lambda at: F.coalesce(F.try_element_at("by", at), F.lit(0))).alias("counts"))
+
+
+def across_components(rows: DataFrame, percent: int, sets: DataFrame) -> DataFrame:
     """All pairs (a, b) in different components that share a rare shingle and may be similar.
 
     `need` is the overlap that the two sizes ask for. A pair that reaches it shares one of the
     first m - need + 1 shingles of either, and a shared shingle at two places of the common
     order bounds the overlap: up to it as many as the earlier place allows, after it as many as
-    the shorter rest has.
+    the shorter rest has. Near misses of one template pass these bounds; they lack different
+    parts of it, so two sets also have no more in common than the smaller counts of their
+    buckets add up to.
     """
     met = rows.join(open_keys(rows, "s"), "s")
+    met = met.join(bucket_counts(sets, met.select("id").distinct()), "id")
     small = met.where("c <> largest").select("s", *[
-        F.col(name).alias(f"{name}_a") for name in ("id", "n", "c", "m", "place")])
+        F.col(name).alias(f"{name}_a") for name in ("id", "n", "c", "m", "place", "counts")])
     need = F.ceil(percent * (F.col("n") + F.col("n_a")) / (100 + percent))
     most = F.least("place", "place_a") + F.least(F.col("m") - F.col("place"), F.col("m_a") - F.col("place_a"))
+    common = F.aggregate(F.zip_with("counts", "counts_a", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
     across = met.join(small, "s").where(
         (F.col("c") != F.col("c_a"))
         & ((F.col("c") == F.col("largest")) | (F.col("id") < F.col("id_a")))
         & (F.col("place") <= F.col("m") - need + 1) & (F.col("place_a") <= F.col("m_a") - need + 1)
-        & (most >= need))
+        & (most >= need) & (common >= need))
     return across.select(F.col("id_a").alias("a"), F.col("id").alias("b")).distinct()
 
 
@@ -240,7 +257,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS,
     rare = cut_lineage(rare_shared(sets, pool, percent))
     for partners in (one_partner_each, across_components):
         found = partners(cut_lineage(in_components(rare, labels)), *(
-            [percent] if partners is across_components else []))
+            [percent, sets] if partners is across_components else []))
         more = cut_small(confirmed(sets, found, percent), size)
         if not more.isEmpty():
             links = cut_small(links.unionAll(more), size)

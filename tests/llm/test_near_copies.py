@@ -75,3 +75,22 @@ def test_rows_are_kept_by_their_texts(spark):
     assert stay.columns == docs.columns
     got = sorted((r.doc_id or -1, r.text or "") for r in stay.collect())
     assert got == sorted([(1, one), (1, two), (-1, three), (4, ""), (4, "")])
+
+
+def test_near_misses_of_one_template_are_no_candidates(spark):
+    """Texts with three edits in different places share 116 of 146 shingles; 0.8 asks for 130."""
+    template = [f"t{i}" for i in range(150)]
+    texts = []
+    for _ in range(80):
+        words = list(template)
+        for at in rng.sample(range(5, 145, 10), 3):
+            words[at] = f"new{rng.random()}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = docs.selectExpr("doc_id as id")
+    sets = minmax_dedup.shingle_sets(docs, ids, 5)
+    rows = minmax_dedup.rare_shared(sets, ids, 80).selectExpr("*", "id as c")
+    found = {(min(r.a, r.b), max(r.a, r.b)) for r in minmax_dedup.across_components(rows, 80, sets).collect()}
+    of = [{tuple(t.split()[i:i + 5]) for i in range(146)} for t in texts]
+    linked = {(a, b) for b in range(80) for a in range(b) if 100 * len(of[a] & of[b]) >= 80 * len(of[a] | of[b])}
+    assert linked <= found and len(found) <= 2 * len(linked) + 80 < 80 * 79 / 4
