@@ -245,41 +245,62 @@ def parse(payloads: DataFrame, endpoint: str, symbol_pattern: str = "^[A-Z]{4}$"
     error field is a failure. `records` holds the typed rows.
     """
     model = MODELS[endpoint]
-    top = as_map(F.col("payload"))
-    error = F.when(is_object(F.col("payload")), F.coalesce(
-        F.nullif(top["error"], F.lit("")), F.nullif(top["detail"], F.lit(""))))
-    page_total = as_map(top["pagination"])["total_count"].try_cast("bigint")
-    empty_key = F.lit(False)
-    for key in K.ENVELOPE_KEYS:
-        empty_key = empty_key | F.coalesce(top[key].rlike(r"^\s*\[\s*\]\s*$"), F.lit(False))
-    says_empty = F.when(is_list(F.col("payload")), F.lit(True)).otherwise(
-        F.coalesce(page_total == 0, F.lit(False)) | empty_key)
+
+    def said(top: Column) -> Column:
+        error = F.when(is_object(F.col("payload")), F.coalesce(
+            F.nullif(top["error"], F.lit("")), F.nullif(top["detail"], F.lit(""))))
+        page_total = as_map(top["pagination"])["total_count"].try_cast("bigint")
+        empty_key = F.lit(False)
+        for key in K.ENVELOPE_KEYS:
+            empty_key = empty_key | F.coalesce(top[key].rlike(r"^\s*\[\s*\]\s*$"), F.lit(False))
+        says_empty = F.when(is_list(F.col("payload")), F.lit(True)).otherwise(
+            F.coalesce(page_total == 0, F.lit(False)) | empty_key)
+        return F.struct(error.alias("error"), says_empty.alias("empty"))
 
     def record(row: Column) -> Column:
-        symbol = S.clean_symbol(pick(row, K.FIELD_ALIASES["symbol"]))
-        good, fields = S.valid_symbol(symbol, symbol_pattern), [symbol.alias("symbol")]
-        for name, (alias, kind, required) in model.items():
-            raw = pick(row, K.FIELD_ALIASES.get(alias, [alias]))
-            value = typed(raw, kind)
-            good = good & (value.isNotNull() if required else raw.isNull() | value.isNotNull())
-            fields.append(value.alias(name))
-        return F.struct(good.alias("ok"), F.struct(*fields).alias("fields"))
-
-    checked = flatten(payloads, endpoint).withColumn("checked", F.transform("rows", record))
-    nothing = F.size(F.coalesce("rows", no_rows())) == 0
+        """One row's fields and whether they hold; every field is picked and cast once."""
+        texts = F.struct(pick(row, K.FIELD_ALIASES["symbol"]).alias("symbol"), *[
+            pick(row, K.FIELD_ALIASES.get(alias, [alias])).alias(name)
+            for name, (alias, _, _) in model.items()])
+
+        def judged(raw: Column, fields: Column) -> Column:
+            good = S.valid_symbol(fields["symbol"], symbol_pattern)
+            for name, (_, _, required) in model.items():
+                present = fields[name].isNotNull()
+                good = good & (present if required else raw[name].isNull() | present)
+            return F.struct(good.alias("ok"), fields.alias("fields"))
+
+        return S.let(texts, lambda raw: S.let(F.struct(
+            S.clean_symbol(raw["symbol"]).alias("symbol"),
+            *[typed(raw[name], kind).alias(name) for name, (_, kind, _) in model.items()]),
+            lambda fields: judged(raw, fields)))
+
+    # Lambdas and pushed filters have no common subexpressions, so the answer and its rows are
+    # bound once and the columns below only look into them.
+    read = flatten(payloads, endpoint).select(
+        *payloads.columns, S.let(as_map(F.col("payload")), said).alias("said"),
+        S.let(F.col("rows"), lambda rows: F.struct(
+            (F.size(F.coalesce(rows, no_rows())) == 0).alias("nothing"),
+            F.transform(rows, record).alias("checked"))).alias("found"))
+    error = F.col("said.error")
     failure = (
         F.when(error.isNotNull(), F.concat(F.lit("API error: "), error))
-        .when(nothing & ~says_empty, "no readable rows")
-        .when(F.exists("checked", lambda c: ~c["ok"]), "invalid row")
+        .when(F.col("found.nothing") & ~F.col("said.empty"), "no readable rows")
+        .when(F.exists("found.checked", lambda c: ~c["ok"]), "invalid row")
     )
-    return checked.withColumn("failure", failure).select(
+    return read.withColumn("failure", failure).select(
         *payloads.columns, F.col("failure").isNull().alias("valid"), "failure",
-        F.transform("checked", lambda c: c["fields"]).alias("records"))
+        F.col("found.checked.fields").alias("records"))
 
 
 def good_rows(parsed: DataFrame) -> DataFrame:
+    """The rows of the valid payloads.
+
+    The condition stands inside the generator: as a filter it would be pushed below the parsing
+    and read every payload again.
+    """
     keep = [c for c in parsed.columns if c not in ("payload", "valid", "failure", "records")]
-    return parsed.where("valid").select(*keep, F.inline("records"))
+    return parsed.select(*keep, F.inline(F.when(F.col("valid"), F.col("records"))))
 
 
 def quarantined(parsed: DataFrame) -> DataFrame:
