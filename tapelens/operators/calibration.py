@@ -35,7 +35,7 @@ def observation_matrix(tables, events: DataFrame, lags: list[int] | None = None,
     """
     wanted = cut_lineage(lag_grid(tables, events, lags))
     grid = wanted.select("symbol", "as_of").distinct()
-    table = probes.score_table(probes.run_all(tables, grid, exclude, sparse=True))
+    table = probes.score_table(probes.run_all(tables, grid, exclude, sparse=True, overlapping=True))
     return wanted.join(table, ["symbol", "as_of"]).select(
         "symbol", "event_date", "lag", "as_of", "label", *K.COMPONENTS)
 
