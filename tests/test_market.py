@@ -3,6 +3,7 @@ from datetime import date
 
 import market
 from tapelens.operators import pit, probes
+from tapelens.plans import registry
 from tapelens.plans.market import MarketTables
 
 
@@ -30,6 +31,47 @@ def test_every_listed_security_has_all_its_suspensions(spark, tmp_path):
     assert got == [(symbol, day) for symbol in ("BRAB", "BRCF") for day in days]
 
 
+def halted_market(spark, folder):
+    """Listed securities 1 and 2 and the unlisted 7, each halted on the 20th and 21st of four months."""
+    write(spark, folder, "part", [(n, f"Brand#{n}", 900.0 + n) for n in (1, 2, 7)],
+          "p_partkey long, p_brand string, p_retailprice double")
+    first = date(1998, 1, 1).toordinal()
+    days = [date.fromordinal(first + n) for n in range(120)]
+    write(spark, folder, "lineitem", [
+        (day.toordinal(), part, n, supplier, flag, quantity, 100.0, discount, 0.06, "F", str(day))
+        for part in (1, 2, 7) for day in days for n, supplier, flag, quantity, discount in
+        # the line with the highest discount of a month is no halt
+        [(1, 1, "N", 10.0, 0.10), (2, 2, "N", 5.0, 0.0), (3, 3, "R", 48.0, 0.01)][:3 if day.day in (20, 21) else 2]],
+        "l_orderkey long, l_partkey long, l_linenumber int, l_suppkey long, l_returnflag string,"
+        " l_quantity double, l_extendedprice double, l_discount double, l_tax double,"
+        " l_linestatus string, l_shipdate string")
+    write(spark, folder, "customer", [(1, 0)], "c_custkey long, c_nationkey int")
+    write(spark, folder, "orders", [(1, str(days[0]), 1000.0)],
+          "o_custkey long, o_orderdate string, o_totalprice double")
+    return days
+
+
+def test_sessions_before_halts_of_unlisted_securities_too(spark, tmp_path):
+    days = halted_market(spark, tmp_path)
+    got = sorted(map(tuple, registry.queries()["c2_nth_session_before"](spark, str(tmp_path)).collect()))
+    assert got == sorted(
+        (symbol, day, lag, date.fromordinal(day.toordinal() - lag))
+        for symbol in ("BRAB", "BRAC", "BRAH") for day in days if day.day in (20, 21) for lag in (1, 3, 5, 10))
+
+
+def test_every_listed_event_has_its_controls_and_lags(spark, tmp_path):
+    days, jobs = halted_market(spark, tmp_path), registry.queries()
+    events = [(symbol, day) for symbol in ("BRAB", "BRAC") for day in days if day.day == 20]
+    controls = jobs["c6_matched_controls_with_reuse"](spark, str(tmp_path)).collect()
+    # BRAC shares its sub-sector with BRAH, BRAB takes it from the whole pool
+    assert sorted((r.positive, r.event_date, r.symbol, r.match_rank) for r in controls) == [
+        (*event, "BRAH", 1) for event in events]
+    lagged = jobs["c3_event_lag_grid"](spark, str(tmp_path)).collect()
+    wanted = sorted((symbol if label else "BRAH", day, label, lag, date.fromordinal(day.toordinal() - lag))
+                    for symbol, day in events for label in (0, 1) for lag in (1, 3, 5, 10))
+    assert sorted(map(tuple, lagged)) == wanted
+
+
 class Counted(dict):
     """Tables that count how often each is asked for."""
 
