@@ -100,13 +100,16 @@ def weights_from_auc(auc: DataFrame, enough: bool | Column = True) -> DataFrame:
 
 def evaluate(matrix: DataFrame, weights: dict[str, float] | None = None, threshold: int = 60,
              top: int = 20) -> DataFrame:
-    """Precision at top-k, recall, false positives, median lead and mean confidence: one row."""
+    """Precision at top-k, recall, false positives, median lead and mean confidence: one row.
+
+    The peaks, a row per labelled event, are materialised: the best and the totals read them.
+    """
     scored = scoring.composite_row(matrix, weights).where("composite is not null")
     over = F.col("composite") >= threshold
-    peaks = scored.groupBy("symbol", "event_date", "label").agg(
+    peaks = cut_lineage(scored.groupBy("symbol", "event_date", "label").agg(
         F.max("composite").alias("peak"),
         F.max(F.when(over, F.col("lag"))).alias("lead"),
-        F.sum("confidence").alias("conf_sum"), F.count("*").alias("rows"))
+        F.sum("confidence").alias("conf_sum"), F.count("*").alias("rows")))
     best = peaks.orderBy(F.desc("peak"), "symbol", "event_date", F.desc("label")).limit(top)
     precision = best.agg(F.avg("label").alias("precision_at_k"), F.count("*").alias("k"))
     passed = F.col("peak") >= threshold

@@ -2,7 +2,8 @@ import re
 from datetime import date
 
 import market
-from tapelens.operators import pit, probes
+from tapelens import constants as K
+from tapelens.operators import calibration, pit, probes
 from tapelens.plans import registry
 from tapelens.plans.market import MarketTables
 
@@ -123,3 +124,15 @@ def test_one_pass_over_the_lines_serves_the_tables_of_days(spark, tmp_path):
     for name in ("daily_transaction", "foreign_flow", "quarterly_financials"):
         assert "lineitem" not in tables[name]._jdf.queryExecution().optimizedPlan().toString()
         assert "l_shipdate" not in tables[name]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_evaluation_reads_the_matrix_once(spark, tmp_path):
+    day, scores = date(1998, 1, 20), ", ".join(f"{c} double" for c in K.COMPONENTS)
+    write(spark, tmp_path, "matrix", [
+        (symbol, day, lag, day, label, *[score] * 6)
+        for symbol, label, score in (("AAAA", 1, 90.0), ("BBBB", 0, 10.0)) for lag in (1, 3)],
+        f"symbol string, event_date date, lag int, as_of date, label int, {scores}")
+    found = calibration.evaluate(spark.read.parquet(f"{tmp_path}/matrix.parquet"))
+    assert "parquet" not in found._jdf.queryExecution().optimizedPlan().toString()
+    row, = found.collect()
+    assert (row.n, row.k, row.precision_at_k, row.recall, row.median_lead) == (2, 2, 0.5, 1.0, 3.0)
