@@ -60,6 +60,27 @@ def test_sessions_before_halts_of_unlisted_securities_too(spark, tmp_path):
         for symbol in ("BRAB", "BRAC", "BRAH") for day in days if day.day in (20, 21) for lag in (1, 3, 5, 10))
 
 
+def test_arm_summary_counts_halts_of_unlisted_securities_too(spark, tmp_path):
+    days = ["1998-01-05", "1998-02-05", "1998-03-05"]
+    write(spark, tmp_path, "part", [(n, f"Brand#{n}", 900.0 + n, "MEDIUM", "") for n in (1, 7)],
+          "p_partkey long, p_brand string, p_retailprice double, p_type string, p_name string")
+    write(spark, tmp_path, "lineitem",
+          [(i, part, 1, 1, "R", 48.0, 100.0, 0.01, 0.06, "O", day)
+           for part in (1, 7) for i, day in enumerate(days)],
+          "l_orderkey long, l_partkey long, l_linenumber int, l_suppkey long, l_returnflag string,"
+          " l_quantity double, l_extendedprice double, l_discount double, l_tax double,"
+          " l_linestatus string, l_shipdate string")
+    write(spark, tmp_path, "supplier", [(n,) for n in range(20)], "s_suppkey long")
+    write(spark, tmp_path, "customer", [(1, 0)], "c_custkey long, c_nationkey int")
+    write(spark, tmp_path, "orders", [(1, days[0], 1000.0)],
+          "o_custkey long, o_orderdate string, o_totalprice double")
+    write(spark, tmp_path, "conversations", [(2, "x")], "conv_id long, text string")
+    rows = registry.queries()["d18_arm_summary"](spark, str(tmp_path)).collect()
+    # the halt alone is 55 in January; from February on the float's 100 and the halt make 86
+    assert {r.arm: (r.cases, r.agreed) for r in rows if r.arm in ("exhaustive", "cheapest_two")} == {
+        "exhaustive": (6, 6), "cheapest_two": (6, 4)}
+
+
 def test_every_listed_event_has_its_controls_and_lags(spark, tmp_path):
     days, jobs = halted_market(spark, tmp_path), registry.queries()
     events = [(symbol, day) for symbol in ("BRAB", "BRAC") for day in days if day.day == 20]
